@@ -13,12 +13,17 @@ from mosaiq.llm.embedding_dedup import near_vectors
 from mosaiq.llm.exact_dedup import exact_dedup
 from mosaiq.llm.mixing import mix
 from mosaiq.llm.simhash import near_groups
+from mosaiq.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, dictionary = token_files.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_files.read_tokens(shards, dictionary)
@@ -83,7 +88,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op4_simhash, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_mixing, op9_secrets, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op4_simhash, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_mixing, op9_secrets, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
