@@ -44,7 +44,7 @@ class Encoder(dict):
     """Ids of texts, as bytes. The tokenizer splits at white space before anything else, so pieces between ASCII white
     space are encoded once and kept; the maps are emptied when full."""
 
-    MOST = 300_000
+    MOST_PIECES, MOST_WORDS = 500_000, 1_000_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -67,9 +67,11 @@ class Encoder(dict):
                 ids = [t.id for t in self.tokenizer.model.tokenize(word.lower().translate(self.letters))]
             else:
                 ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            if len(self.words) >= self.MOST:
+            if len(self.words) >= self.MOST_WORDS:
                 self.words.clear()
-            found = self.words[word] = np.array(ids, self.wide).tobytes()
+            found = np.array(ids, self.wide).tobytes()
+            if len(word) < 64:
+                self.words[word] = found
         return found
 
     def __missing__(self, piece: str) -> bytes:
@@ -77,7 +79,7 @@ class Encoder(dict):
             ids = self._word(piece[:-1]) + self._word(piece[-1])
         else:
             ids = self._word(piece) if piece else b""
-        if len(self) >= self.MOST:
+        if len(self) >= self.MOST_PIECES:
             self.clear()
         if len(piece) < 64:
             self[piece] = ids
