@@ -1,12 +1,67 @@
-"""A corpus pipeline of the operators in mosaiq.llm."""
+"""A corpus pipeline of the operators in mosaiq.llm: documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the last returns the ids.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, simhash
+from mosaiq.llm.shared import written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model rejects (no letters, or far from every language) go."""
+    found = language_id.predict_documents(docs, language_id.fit_documents(docs), keep=("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return found.where("not rejected").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines go, and documents of which nothing is left."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    found = line_dedup.line_dedup(docs, keep=others).where("n_removed = 0 or kept_text rlike '\\\\S'")
+    return found.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of smallest id stays; rows of one id count as one, rows without id stay."""
+    keep = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    named = named.withColumn("nth_row", F.row_number().over(first)).where("nth_row = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; the one that a source takes in part counts from half its words on."""
+    repeats = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    taken = mixing.mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(repeats).alias("times")).where("times > 0")
+    return docs.join(taken, "doc_id").withColumn("nth_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, ids."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, with_ids=True, keep=("lang", "source"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language identification", identify_language),
+    ("line deduplication", dedup_lines),
+    ("near-deduplication", dedup_near),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode),
+]
+#: The first stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -227,27 +227,28 @@ def blocks(texts: list[str | None], most: int = 1 << 20):
         yield run
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>, decoded binary]) of each document; decoded from the ids."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, the columns named in keep, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of each document; the last digest is of the bytes decoded from the ids."""
 
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            counts, digests, decoded, kept, raws = [], [], [], [], []
-            for texts in blocks(batch.column(1).to_pylist()):
-                for ids in own.encode_batch(texts):
-                    ids = ids.tolist()
-                    raw = own.decode(ids)
-                    counts.append(len(ids))
-                    digests.append(hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(raw).hexdigest())
-                    if with_ids:
-                        kept.append(ids)
-                        raws.append(raw)
-            columns = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
-            if with_ids:
-                columns |= {"ids": pa.array(kept, pa.list_(pa.int32())), "decoded": pa.array(raws, pa.binary())}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            done = 0
+            for texts in blocks(batch.column(len(keep) + 1).to_pylist()):
+                found = own.encode_batch(texts)
+                listed = [ids.tolist() for ids in found]
+                raws = [own.decode(ids) for ids in listed]
+                columns = [c.slice(done, len(texts)) for c in batch.columns[: len(keep) + 1]]
+                columns += [pa.array([len(ids) for ids in found], pa.int64())]
+                columns += [pa.array([hashlib.sha256(",".join(map(own.decimal.__getitem__, ids)).encode()).hexdigest() for ids in listed], pa.string())]
+                columns += [pa.array([hashlib.sha256(raw).hexdigest() for raw in raws], pa.string())]
+                if with_ids:
+                    ends = np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))]
+                done += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mosaiq.llm import byte_bpe, language_id, secrets, token_files
 from mosaiq.llm.embedding_dedup import near_vectors
 from mosaiq.llm.exact_dedup import exact_dedup
+from mosaiq.llm.line_dedup import line_dedup
 from mosaiq.llm.mixing import mix
 from mosaiq.llm.simhash import near_groups
 from mosaiq.llm.substring_dedup import substring_dedup
@@ -29,6 +30,28 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(shards, dictionary)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+# Chunks end where the rolling polynomial over two line hashes is 0 modulo 4, as in line_dedup.
+SQL3 = r"""
+WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
+), l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
+), c AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS code FROM l
+), e AS (SELECT *, (coalesce(lag(code) OVER w, 0) * 1000003 + code) % 2147483647 % 4 = 0 AS ends FROM c WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
+), k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e
+), p AS (SELECT doc_id, text, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines FROM k GROUP BY doc_id, text, k
+), r AS (SELECT *, lines > 1 AND regexp_matches(chunk, '\S') AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, sha256(text), k) > 1 AS gone FROM p
+), o AS (
+  SELECT doc_id, text, sum(lines)::BIGINT AS n_lines, count(*) AS n_chunks, coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS n_removed,
+    sha256(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256 FROM r GROUP BY doc_id, text
+)
+SELECT d.doc_id, n_lines, n_chunks, n_removed, kept_sha256 FROM documents d JOIN o ON d.doc_id IS NOT DISTINCT FROM o.doc_id AND coalesce(d.text, '') = o.text
+"""
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
@@ -88,8 +111,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op4_simhash, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_mixing, op9_secrets, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_files, op3_line_dedup, op4_simhash, op5_exact_dedup, op6_byte_bpe, op7_language_id, op8_mixing, op9_secrets, op10_embedding_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": SQL5, "op8_mixing": SQL8}
+    return {"op3_line_dedup": SQL3, "op5_exact_dedup": SQL5, "op8_mixing": SQL8}
