@@ -12,21 +12,20 @@ def target_sample(stts: DataFrame, keys: list[str], share: float = 0.1) -> DataF
     """The sample (from 1) at `share` of the duration, from run-length entries (keys, i, count, delta).
 
     Within an entry samples are passed while the next one still begins at or before the target; a track stops in the
-    first entry where the target is reached, and otherwise goes on in the next. The result is at most the number of samples.
+    first entry where the target is reached, and otherwise goes on in the next, from the time it has come to. That is an
+    ordered fold over the entries of one track. The result is at most the number of samples.
     """
-    w = Window.partitionBy(*keys)
-    before = w.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = stts.withColumn("goal", F.floor(F.sum(F.col("count") * F.col("delta")).over(w) * share)).withColumn("total", F.sum("count").over(w))
-    # what earlier entries pass: a whole entry unless the goal lies in it
-    rows = rows.withColumn("begin", F.coalesce(F.sum(F.col("count") * F.col("delta")).over(before), F.lit(0)))
-    fits = F.when(F.col("delta") > 0, F.floor((F.col("goal") - F.col("begin")) / F.col("delta"))).otherwise(F.col("count"))
-    rows = rows.withColumn("passed", F.greatest(F.lit(0), F.least(F.col("count"), fits)))
-    reached = F.col("begin") + F.col("passed") * F.col("delta") >= F.col("goal")
-    rows = rows.withColumn("stopped", reached.cast("int"))
-    earlier = F.coalesce(F.max("stopped").over(before), F.lit(0))
-    passed = F.sum(F.when(F.col("_live"), F.col("passed")).otherwise(0))
-    live = rows.withColumn("_live", earlier == 0)
-    return live.groupBy(*keys).agg(F.least(passed + 1, F.max("total")).alias("target"), F.max("total").alias("total"))
+    entries = F.array_sort(F.collect_list(F.struct("i", "count", "delta")))
+    goal = F.floor(F.sum(F.col("count") * F.col("delta")) * share)
+    per = stts.groupBy(*keys).agg(entries.alias("_entries"), goal.alias("_goal"), F.sum("count").alias("total"))
+
+    def step(state, e):
+        free = F.when(e["delta"] > 0, F.floor((F.col("_goal") - state["time"]) / e["delta"])).otherwise(e["count"])
+        k = F.when(state["time"] >= F.col("_goal"), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(e["count"], free))).cast("long")
+        return F.struct((state["time"] + k * e["delta"]).alias("time"), (state["passed"] + k).alias("passed"))
+
+    start = F.struct(F.lit(0).cast("long").alias("time"), F.lit(0).cast("long").alias("passed"))
+    return per.select(*keys, F.least(F.aggregate("_entries", start, step)["passed"] + 1, "total").alias("target"), "total")
 
 
 def sync_sample(targets: DataFrame, stss: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "thumbnail_geometry"
-MODULES = ("geometry", "sniff", "sheets", "rasters")
+MODULES = ("geometry", "sniff", "sheets", "rasters", "documents")
 _FOUND: dict[str, "Query"] = {}
 
 
