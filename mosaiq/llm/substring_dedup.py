@@ -159,13 +159,19 @@ def _groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.repeat(sizes, sizes), new
 
 
-def _answers(names: list[bytes], doc: np.ndarray, pos: np.ndarray):
-    """(name, positions) of each text, each position once."""
+def _distinct(names: list[bytes], doc: np.ndarray, pos: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(names, text, position): each position of each text once, in order."""
     distinct = sorted(set(names))
     index = {x: i for i, x in enumerate(distinct)}
     to = np.array([index[x] for x in names], np.int64)
     both = np.unique((to[doc] << 32) | pos.astype(np.int64))
-    text, pos = both >> 32, (both & 0xFFFFFFFF).astype("<u4")
+    return distinct, both >> 32, both & 0xFFFFFFFF
+
+
+def _answers(names: list[bytes], doc: np.ndarray, pos: np.ndarray):
+    """(name, positions) of each text, each position once."""
+    distinct, text, pos = _distinct(names, doc, pos)
+    pos = pos.astype("<u4")
     cuts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
     for s, e in zip(cuts, np.append(cuts[1:], len(text)), strict=True):
         yield distinct[text[s]], pos[s:e].tobytes()
@@ -215,26 +221,47 @@ def _count(extract, block: int, buckets: int):
     return run
 
 
-def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Reduce side: answers of one bucket, from the hashes that more than one block sent."""
+def _gathered(blobs: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     names, doc, pos, hashes = [], [], [], []
-    for blob in pdf["blob"]:
+    for blob in blobs:
         own, d, p, h = _unpack(blob)
         doc.append(d + len(names))
         names += own
         pos.append(p)
         hashes.append(h)
-    doc, pos, hashes = map(np.concatenate, (doc, pos, hashes))
-    order, sizes, _ = _groups(hashes)
-    many = order[sizes > 1]
-    return pd.DataFrame(list(_answers(names, doc[many], pos[many])) if len(many) else [], columns=["name", "blob"])
+    return names, *map(np.concatenate, (doc, pos, hashes))
+
+
+def _resolve(parts: int):
+    """Reduce side: answers of one bucket, from the hashes that more than one block sent, packed by part of the names."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, doc, pos, hashes = _gathered(pdf["blob"])
+        order, sizes, _ = _groups(hashes)
+        many = order[sizes > 1]
+        rows = []
+        if len(many):
+            distinct, text, pos = _distinct(names, doc[many], pos[many])
+            part = np.array([int.from_bytes(x[:6], "big") % parts for x in distinct])[text]
+            for k in np.unique(part):
+                own = part == k
+                rows.append((int(k), _pack(distinct, text[own], pos[own], np.zeros((int(own.sum()), 0), np.uint64))))
+        return pd.DataFrame(rows, columns=["part", "blob"])
+
+    return run
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Answers of all buckets for one part of the names: a row for each text."""
+    return pd.DataFrame(list(_answers(*_gathered(pdf["blob"])[:3])), columns=["name", "blob"])
 
 
 def repeats(texts: DataFrame, extract, block: int, buckets: int) -> DataFrame:
     """(name, at): positions by text whose hashes occur more than once over all rows of texts (name, ...)."""
     sent = texts.mapInArrow(_count(extract, block, buckets), "bucket int, name binary, blob binary")
     sent = written(sent, "hashes")
-    there = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_resolve, "name binary, blob binary")
+    there = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_resolve(buckets), "part int, blob binary")
+    there = there.groupBy("part").applyInPandas(_merge, "name binary, blob binary")
     found = written(sent.where("bucket < 0").select("name", "blob").unionByName(there), "answers")
     discard(sent)
     by_text = written(found.groupBy("name").agg(F.collect_set("blob").alias("at")), "positions")
