@@ -120,7 +120,8 @@ def detect_type(content: Column, strict: bool = False) -> Column:
     zipped = at(content, 0, ZIP)
     rules = [(t, signed[t]) for t in TYPES[:15]]
     rules += [("odt", is_odt(content))]
-    rules += [("pptx", zipped & (_has(content, 30, b"ppt/presentation.xml".hex()) if strict else at(content, 30, "7070742F")))]
+    slides = at(content, 30, "7070742F")
+    rules += [("pptx", zipped & (slides | _has(content, 30, b"ppt/presentation.xml".hex()) if strict else slides))]
     if strict:
         rules += [("docx", zipped & _has(content, 30, b"word/document.xml".hex()))]
     rules += [("xlsx", zipped & _has(content, 30, "786C2F")), ("ppt", _ole(content, "PowerPoint Document")), ("doc", _ole(content, "WordDocument")), ("xls", at(content, 0, OLE2))]
