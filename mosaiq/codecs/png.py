@@ -81,6 +81,8 @@ def decode_png(data: bytes) -> Grid:
     except zlib.error as e:
         raise DecodeError(f"PNG data: {e}") from None
     n = _CHANNELS[colour]
+    if len(raw) < h * (w * n + 1):
+        raise DecodeError("PNG data end early")
     rows = unfilter(raw, h, w * n, n).reshape(h, w, n)
     if colour == 3:
         if table is None:
