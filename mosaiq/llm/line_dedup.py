@@ -7,7 +7,7 @@ more than once over all documents stays at its first place (smallest id, then pl
 
 Chunks are counted by hash first; only those whose hash repeats are gathered with their text, and are grouped by the text
 itself, so equality is of bytes and a hash collision removes nothing. Counts are summed before each shuffle: a
-line of every document meets in no task. A document is known by its id and its text's digest: rows equal in both are one
+line of every document meets in no task. Joins are by sorting at every size: what repeats grows with the documents. A document is known by its id and its text's digest: rows equal in both are one
 document and get the same result. Null texts are empty; a null id comes last. Empty tables give no rows.
 """
 
@@ -62,15 +62,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a document that stands there twice counts once
     twice = parts.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("h")
     twice = written(twice, "hashes")
-    found = written(parts.join(twice, "h", "left_semi"), "chunks")
+    found = written(parts.join(twice.hint("merge"), "h", "left_semi"), "chunks")
     first = written(found.groupBy("h", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last"), "first")
-    gone = found.join(first, ["h", "chunk"]).where("place <> first").groupBy("place.id", "place.name").agg(F.collect_set("place.k").alias("gone"))
+    gone = found.join(first.hint("merge"), ["h", "chunk"]).where("place <> first").groupBy("place.id", "place.name").agg(F.collect_set("place.k").alias("gone"))
     gone = written(gone, "gone").withColumnRenamed("name", "gone_name")
     discard(twice)
     discard(found)
     discard(first)
     match = (F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)) == F.col("id")) & (F.col("name") == F.col("gone_name"))
-    joined = rows.join(gone, match, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    joined = rows.join(gone.hint("merge"), match, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     every = _let(chunks(F.col("text"), chunk), lambda c: F.struct(c.alias("all"), F.filter(c, lambda x, k: ~F.array_contains(F.col("gone"), k)).alias("kept")))
     lines = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["lines"])
     report = _let(
