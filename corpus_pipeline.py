@@ -29,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id stays; rows of one id count as one, rows without id stay."""
     keep = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    named = docs.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     named = named.withColumn("nth_row", F.row_number().over(first)).where("nth_row = 1")
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; the one that a source takes in part counts from half its words on."""
     repeats = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
     taken = mixing.mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(repeats).alias("times")).where("times > 0")
-    return docs.join(taken, "doc_id").withColumn("nth_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return docs.join(taken.hint("merge"), "doc_id").withColumn("nth_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -294,7 +294,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chars // BUCKET_CHARS)
     first = repeats(rows.select("name", "text"), lambda text: anchors(_split(text), window, period), BLOCK_ANCHORS, buckets)
-    near = rows.select("name", "text").join(first, "name").select("name", "text", "at")
+    near = rows.select("name", "text").join(first.hint("merge"), "name").select("name", "text", "at")
     second = repeats(near, lambda text, at: windows_at(_split(text), _positions(at), window, period), BLOCK_WINDOWS, buckets)
     discard(first)
 
@@ -311,5 +311,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))], names=names)
 
-    joined = rows.join(second, "name", "left").select("doc_id", "text", "at")
+    joined = rows.join(second.hint("merge"), "name", "left").select("doc_id", "text", "at")
     return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
