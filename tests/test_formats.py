@@ -129,3 +129,101 @@ def test_png_data_uri():
     uri = base64.b64encode(png.encode_png(g)).decode()
     got = svg.decode_svg(f'<svg width="4" height="4"><image href="data:image/png;base64,{uri}" width="4" height="4"/></svg>'.encode())
     assert np.array_equal(got.rgba[128::256, 128::256], g.rgba)
+
+
+def xlsx_file():
+    image = png.encode_png(made.Grid(np.full((2, 2, 4), (0, 200, 0, 255), np.uint8)))
+    return zipped({
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="A" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="t" Target="theme/theme1.xml"/></Relationships>',
+        "xl/theme/theme1.xml": '<a:theme xmlns:a="a"><a:clrScheme><a:accent1><a:srgbClr val="102030"/></a:accent1></a:clrScheme></a:theme>',
+        "xl/sharedStrings.xml": "<sst><si><t>plain</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>",
+        "xl/styles.xml": '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="$0.00"/></numFmts><fonts><font><sz val="11"/></font><font><b/><sz val="20"/><color rgb="FFFF0000"/></font></fonts>'
+        '<fills><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="solid"><fgColor theme="4"/></patternFill></fill></fills><borders><border/></borders>'
+        '<cellXfs><xf/><xf fontId="1" fillId="1" numFmtId="164"><alignment horizontal="center"/></xf></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": '<worksheet xmlns:r="r"><cols><col min="2" max="3" width="20"/><col min="3" max="3" hidden="1"/></cols><sheetData><row r="1" ht="30"><c r="A1" t="s"><v>1</v></c><c r="B1" s="1"><v>2.5</v></c></row>'
+        '<row r="3"><c r="A3" t="b"><v>1</v></c><c r="B3" t="inlineStr"><is><t>in</t></is></c><c r="C3" t="s"><v>99</v></c></row></sheetData><mergeCells><mergeCell ref="A5:B6"/></mergeCells><drawing r:id="d"/></worksheet>',
+        "xl/worksheets/_rels/sheet1.xml.rels": '<Relationships><Relationship Id="d" Target="../drawings/drawing1.xml"/></Relationships>',
+        "xl/drawings/drawing1.xml": '<wsDr xmlns:r="r"><oneCellAnchor><from><col>3</col><colOff>0</colOff><row>10</row><rowOff>0</rowOff></from><ext cx="1270000" cy="1270000"/><pic><blipFill><blip r:embed="i"/></blipFill></pic></oneCellAnchor>'
+        '<twoCellAnchor><from><col>0</col><colOff>0</colOff><row>10</row><rowOff>0</rowOff></from><to><col>2</col><colOff>0</colOff><row>20</row><rowOff>0</rowOff></to><graphicFrame><chart r:id="c"/></graphicFrame></twoCellAnchor></wsDr>',
+        "xl/drawings/_rels/drawing1.xml.rels": '<Relationships><Relationship Id="i" Target="../media/i.png"/><Relationship Id="c" Target="../charts/chart1.xml"/></Relationships>',
+        "xl/charts/chart1.xml": '<chartSpace><chart><plotArea><pieChart><ser><val><numRef><numCache><pt idx="0"><v>1</v></pt><pt idx="1"><v>3</v></pt></numCache></numRef></val></ser></pieChart></plotArea></chart></chartSpace>',
+        "xl/media/i.png": image,
+    })
+
+
+def test_xlsx():
+    from mosaiq.formats import sheet, xlsx
+
+    s = xlsx.parse_xlsx(xlsx_file())
+    assert [(c.row, c.col, c.value, c.numeric) for c in s.cells] == [(0, 0, "rich", False), (0, 1, "2.5", True), (2, 0, "TRUE", False), (2, 1, "in", False), (2, 2, "", False)]
+    assert s.merges == [(4, 0, 5, 1)] and s.heights[0] == (30.0, False) and s.styles[1].fill == "102030" and s.styles[1].bold and s.widths[0] == (1, 2, 145.0, False)
+    assert len(s.images) == 1 and s.charts[0][1].series == [[1.0, 3.0]]
+    g = sheet.draw_sheet(s)
+    k = 1024 / 842
+    x = (s.default_width + 145 * 2 + 50) * k
+    assert (g.width, g.height) == (1024, 724) and rgb(g, int(70 * k), int(4 * k)) == (16, 32, 48)
+    assert rgb(g, int(x), int((30 + 9 * 15 + 50) * k)) == (0, 200, 0)
+    with pytest.raises(DecodeError):
+        xlsx.decode_xlsx(zipped({"a": ""}))
+
+
+def test_number_formats_and_axis():
+    from mosaiq.formats import sheet
+
+    cases = {("5", 0, ""): "5", ("1.23456789012", 0, ""): "1.23456789", ("2.345", 2, ""): "2.35", ("2.5", 3, ""): "2.500", ("1234.5", 5, ""): "$1234.50", ("0.125", 9, ""): "13%", ("0.125", 10, ""): "12.50%", ("43000", 14, ""): "43000",
+             ("1234567.891", 37, ""): "1,234,567.89", ("x", 2, ""): "x", ("3", 164, "0.00"): "3.00", ("3", 164, "#,##0"): "3", ("0.5", 164, "0%"): "50%"}
+    for (value, number, code), want in cases.items():
+        assert sheet.format_number(value, number, code) == want
+    assert sheet.axis([3, 97]) == (0, 100) and sheet.axis([-5, 5]) == (-6, 6) and sheet.axis([0]) == (0, 1)
+    assert sheet.tint("808080", 0.5) == "c0c0c0" and sheet.tint("808080", -0.5) == "404040"
+
+
+def ole2(streams):
+    """A compound file with 512-byte sectors; all streams of at least 4096 bytes."""
+    import struct
+
+    sectors, entries, table = [], [], []
+
+    def put(body):
+        first = len(sectors)
+        n = max(1, -(-len(body) // 512))
+        for i in range(n):
+            sectors.append(body[512 * i : 512 * (i + 1)].ljust(512, b"\0"))
+            table.append(first + i + 1 if i < n - 1 else 0xFFFFFFFE)
+        return first
+
+    for name, body in streams.items():
+        entries.append((name, 2, put(body), len(body)))
+    entry = lambda name, kind, start, size: (name.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HBB3I", 2 * len(name) + 2, kind, 1, 0xFFFFFFFF, 0xFFFFFFFF, 0xFFFFFFFF) + b"\0" * 36 + struct.pack("<IQ", start, size)
+    folder = b"".join([entry("Root Entry", 5, 0xFFFFFFFE, 0), *(entry(*e) for e in entries)])
+    first_dir = put(folder.ljust(-(-len(folder) // 512) * 512, b"\0"))
+    fat = len(sectors)
+    table.append(0xFFFFFFFD)
+    sectors.append(struct.pack(f"<{len(table)}I", *table).ljust(512, b"\xff"))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 16 + struct.pack("<HHHHH6xIIIIIIIII", 62, 3, 0xFFFE, 9, 6, 0, 1, first_dir, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    return head.ljust(76, b"\0") + struct.pack("<109I", fat, *[0xFFFFFFFF] * 108) + b"".join(sectors)
+
+
+def test_xls():
+    import struct
+
+    from mosaiq.formats import xls
+
+    rec = lambda kind, body: struct.pack("<HH", kind, len(body)) + body
+    text = lambda s: struct.pack("<HB", len(s), 0) + s.encode()
+    long = "x" * 20
+    sst = struct.pack("<II", 2, 2) + text("first") + struct.pack("<HB", 20, 0) + long[:8].encode()
+    globals_ = rec(xls.BOF, b"\0\6\5\0") + rec(xls.FONT, struct.pack("<HHHH", 400, 0, 10, 700) + b"\0" * 6) + rec(xls.XF, struct.pack("<HH", 0, 2) + b"\0\0" + bytes([2]) + b"\0" * 13)
+    globals_ += rec(xls.SST, sst) + rec(xls.CONTINUE, b"\1" + long[8:].encode("utf-16-le"))
+    cells = rec(xls.BOF, b"\0\6\x10\0") + rec(xls.LABELSST, struct.pack("<HHHI", 0, 0, 0, 1)) + rec(xls.NUMBER, struct.pack("<HHHd", 1, 1, 0, 2.5)) + rec(xls.RK, struct.pack("<HHHI", 2, 0, 0, 7 << 2 | 2))
+    cells += rec(xls.MULRK, struct.pack("<HHHIHIH", 3, 0, 0, 250 << 2 | 3, 0, 5 << 2 | 2, 1)) + rec(xls.BOOLERR, struct.pack("<HHHBB", 4, 0, 0, 1, 0)) + rec(xls.MERGED, struct.pack("<HHHHH", 1, 5, 6, 0, 1))
+    cells += rec(xls.FORMULA, struct.pack("<HHHd", 5, 3, 0, 9.0) + b"\0" * 8) + rec(xls.COLUMN, struct.pack("<HHHHH", 0, 0, 2560, 0, 0)) + rec(0x0A, b"")
+    data = ole2({"Workbook": (globals_ + cells).ljust(5000, b"\0")})
+    s = xls.parse_xls(data)
+    assert [(c.row, c.col, c.value) for c in s.cells] == [(0, 0, long), (1, 1, "2.5"), (2, 0, "7"), (3, 0, "2.5"), (3, 1, "5"), (4, 0, "TRUE"), (5, 3, "9")]
+    assert s.merges == [(5, 0, 6, 1)] and s.widths == [(0, 0, 75.0, False)] and s.styles[0].size == 20 and s.styles[0].bold and s.styles[0].align == "center" and s.styles[0].color == "FF0000"
+    assert xls.decode_xls(data).width == 1024
+    assert xls.decode_rk(0x3FF00000) == 1.0 and xls.decode_rk((-5 << 2 | 2) & 0xFFFFFFFF) == -5
+    with pytest.raises(DecodeError):
+        xls.decode_xls(b"no")
