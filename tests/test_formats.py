@@ -227,3 +227,100 @@ def test_xls():
     assert xls.decode_rk(0x3FF00000) == 1.0 and xls.decode_rk((-5 << 2 | 2) & 0xFFFFFFFF) == -5
     with pytest.raises(DecodeError):
         xls.decode_xls(b"no")
+
+
+def test_docx():
+    from mosaiq.formats import docx, document
+
+    image = png.encode_png(made.Grid(np.full((2, 2, 4), (0, 200, 0, 255), np.uint8)))
+    body = """<w:document xmlns:w="w" xmlns:r="r"><w:body><w:p><w:pPr><w:pStyle w:val="H"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p>
+      <w:p><w:pPr><w:jc w:val="right"/><w:shd w:fill="FFFF00"/></w:pPr><w:r><w:rPr><w:color w:val="FF0000"/><w:u w:val="single"/></w:rPr><w:t>red </w:t><w:br/><w:t>next</w:t></w:r></w:p>
+      <w:p><w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:r><w:t>item</w:t></w:r></w:p>
+      <w:tbl><w:tblPr><w:tblBorders><w:top w:val="single" w:sz="8" w:color="0000FF"/></w:tblBorders></w:tblPr><w:tblGrid><w:gridCol w:w="2000"/><w:gridCol w:w="2000"/></w:tblGrid><w:tr><w:tc><w:tcPr><w:shd w:fill="00FFFF"/></w:tcPr><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>
+      <w:p><w:r><w:drawing><wp:inline xmlns:wp="wp"><wp:extent cx="635000" cy="635000"/><a:blip r:embed="i"/></wp:inline></w:drawing></w:r></w:p>
+      <w:p><w:r><w:br w:type="page"/><w:t>never</w:t></w:r></w:p><w:sectPr><w:pgSz w:w="10000" w:h="12000"/><w:pgMar w:left="1000" w:right="1000" w:top="1000" w:bottom="1000"/></w:sectPr></w:body></w:document>"""
+    styles = '<w:styles xmlns:w="w"><w:style w:styleId="B"><w:rPr><w:b/><w:sz w:val="30"/></w:rPr></w:style><w:style w:styleId="H"><w:basedOn w:val="B"/><w:rPr><w:sz w:val="40"/></w:rPr></w:style></w:styles>'
+    data = zipped({"word/document.xml": body, "word/styles.xml": styles, "word/_rels/document.xml.rels": '<Relationships><Relationship Id="i" Target="media/i.png"/></Relationships>', "word/media/i.png": image})
+    doc = docx.parse_docx(data)
+    head = doc.blocks[0].runs[0].style
+    assert (head.size, head.bold) == (20.0, True) and doc.page == (500.0, 600.0) and doc.blocks[2].style.bullet == "•"
+    items = document.layout(doc)
+    assert [v[4] for v in items if v[1] == "text"] == ["Head", "red", "next", "•", "item", "a"] and not any(v[4] == "never" for v in items if v[1] == "text")
+    g = document.draw_document(doc)
+    seen = {tuple(c) for c in g.rgba[..., :3].reshape(-1, 3)[::7].tolist()}
+    assert {(255, 255, 0), (0, 255, 255), (0, 200, 0)} <= seen and (g.rgba[..., :3] == (0, 0, 255)).all(-1).any() and (g.width, g.height) == (853, 1024)
+    with pytest.raises(DecodeError):
+        docx.decode_docx(zipped({"a": ""}))
+
+
+def test_wrapping_beside_floats():
+    from mosaiq.formats import document as d
+
+    grid = made.picture(2, 2)
+    doc = d.TextDocument([d.Paragraph([d.Run("aaaa bbbb cccc dddd eeee ffff " * 3, d.RunStyle(size=10.0))])], (200.0, 200.0), (0.0, 0.0, 0.0, 0.0), [d.Float(grid, (0.0, 0.0, 100.0, 20.0))])
+    text = [(v[2], v[4]) for v in d.layout(doc) if v[1] == "text"]
+    assert text[0] == (100.0, "aaaa") and min(x for x, _ in text) == 0.0
+    doc.floats = [d.Float(grid, (0.0, 0.0, 100.0, 20.0), "topAndBottom")]
+    assert min(v[3] for v in d.layout(doc) if v[1] == "text") > 20
+
+
+def test_odt():
+    from mosaiq.formats import odt
+
+    image = png.encode_png(made.picture(2, 2, alpha=False))
+    content = """<office:document-content xmlns:office="o" xmlns:text="t" xmlns:style="s" xmlns:fo="f"><office:automatic-styles><style:style style:name="P1" style:parent-style-name="Base"><style:text-properties fo:font-weight="bold" fo:font-size="20pt"/><style:paragraph-properties fo:text-align="center"/></style:style>
+      </office:automatic-styles><office:body><office:text><text:p text:style-name="P1">Title<text:s text:c="2"/><text:span text:style-name="P1">x</text:span></text:p><text:list><text:list-item><text:p>one</text:p><text:list><text:list-item><text:p>two</text:p></text:list-item></text:list></text:list-item></text:list>
+      <table:table xmlns:table="b"><table:table-column table:number-columns-repeated="2"/><table:table-row><table:table-cell><text:p>c1</text:p></table:table-cell><table:table-cell><text:p>c2</text:p></table:table-cell></table:table-row></table:table>
+      <text:p><draw:frame xmlns:draw="d" text:anchor-type="as-char" svg:width="2cm" svg:height="2cm"><draw:image xlink:href="Pictures/i.png"/></draw:frame></text:p></office:text></office:body></office:document-content>"""
+    styles = '<s xmlns:style="s" xmlns:fo="f"><styles><style:style style:name="Base"><style:text-properties fo:color="#ff0000"/></style:style></styles><automatic-styles><style:page-layout><style:page-layout-properties fo:page-width="10cm" fo:page-height="10cm" fo:margin="1cm"/></style:page-layout></automatic-styles></s>'
+    doc = odt.parse_odt(zipped({"mimetype": "application/vnd.oasis.opendocument.text", "content.xml": content, "styles.xml": styles, "Pictures/i.png": image}))
+    run = doc.blocks[0].runs[0]
+    assert (run.text, run.style.size, run.style.bold, run.style.color, doc.blocks[0].style.align) == ("Title", 20.0, True, "ff0000", "center")
+    assert [b.style.left for b in doc.blocks[1:3]] == [18.0, 36.0] and doc.blocks[1].style.bullet and len(doc.blocks[3].rows[0]) == 2
+    assert doc.page[0] == pytest.approx(283.46, abs=0.1) and doc.blocks[4].runs[0].image is not None
+    assert odt.decode_odt(zipped({"content.xml": content})).height == 1024
+
+
+def test_doc():
+    import struct
+
+    from mosaiq.formats import doc as word
+
+    text = "Plain bold\rsecond line\r"
+    main = bytearray(0x1000)
+    struct.pack_into("<HH", main, 0, 0xA5EC, 0xC1)
+    struct.pack_into("<I", main, 0x4C, len(text))
+    begin = 0x600
+    main[begin : begin + len(text)] = text.encode()
+    table = bytearray()
+
+    def entry(k, body):
+        struct.pack_into("<II", main, 0x9A + 8 * k, len(table), len(body))
+        table.extend(body)
+
+    plc = struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, begin * 2 | 0x40000000, 0)
+    entry(33, b"\2" + struct.pack("<I", len(plc)) + plc)
+    fcs = [begin, begin + 6, begin + 10, begin + len(text)]
+    page = bytearray(512)
+    struct.pack_into("<4I", page, 0, *fcs)
+    props = struct.pack("<HB", 0x0835, 1) + struct.pack("<HH", 0x4A43, 48)
+    page[16:19] = bytes([0, 100, 0])
+    page[200] = len(props)
+    page[201 : 201 + len(props)] = props
+    page[511] = 3
+    main[512 * 5 : 512 * 6] = page
+    entry(12, struct.pack("<II", begin, begin + len(text)) + struct.pack("<I", 5))
+    page = bytearray(512)
+    struct.pack_into("<3I", page, 0, begin, begin + 11, begin + len(text))
+    page[12], page[25], page[511] = 0, 100, 2
+    props = struct.pack("<HHB", 0, 0x2403, 1)
+    page[200], page[201 : 201 + len(props)] = 3, props
+    main[512 * 6 : 512 * 7] = page
+    entry(13, struct.pack("<II", begin, begin + len(text)) + struct.pack("<I", 6))
+    data = ole2({"WordDocument": bytes(main), "0Table": bytes(table).ljust(4096, b"\0")})
+    doc = word.parse_doc(data)
+    assert [(r.text, r.style.bold, r.style.size) for r in doc.blocks[0].runs] == [("Plain ", False, 10.0), ("bold", True, 24.0)]
+    assert doc.blocks[1].runs[0].text == "second line" and doc.blocks[1].style.align == "center" and doc.blocks[0].style.align == "left"
+    assert (word.decode_doc(data).rgba[..., 0] == 0).any()
+    with pytest.raises(DecodeError):
+        word.decode_doc(ole2({"Other": b"x" * 5000}))
