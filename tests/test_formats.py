@@ -324,3 +324,60 @@ def test_doc():
     assert (word.decode_doc(data).rgba[..., 0] == 0).any()
     with pytest.raises(DecodeError):
         word.decode_doc(ole2({"Other": b"x" * 5000}))
+
+
+def test_pptx():
+    from mosaiq.formats import pptx
+
+    sp = lambda ph, text, spPr="<p:spPr/>": f'<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr>{spPr}<p:txBody><a:bodyPr/><a:p><a:pPr algn="ctr"/><a:r><a:rPr sz="2000" b="1"><a:solidFill><a:schemeClr val="accent1"/></a:solidFill></a:rPr><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>'
+    box = lambda x, y, w, h, fill="": f'<p:spPr><a:xfrm><a:off x="{x * 12700}" y="{y * 12700}"/><a:ext cx="{w * 12700}" cy="{h * 12700}"/></a:xfrm>{fill}</p:spPr>'
+    wrap = lambda body: f'<p:x xmlns:p="p" xmlns:a="a" xmlns:r="r"><p:cSld><p:bg><p:bgPr><a:solidFill><a:srgbClr val="FFFFE0"/></a:solidFill></p:bgPr></p:bg><p:spTree>{body}</p:spTree></p:cSld></p:x>'
+    files = {
+        "ppt/presentation.xml": '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId r:id="s"/></p:sldIdLst><p:sldSz cx="9144000" cy="6858000"/></p:presentation>',
+        "ppt/_rels/presentation.xml.rels": '<Relationships><Relationship Id="s" Target="slides/slide9.xml"/></Relationships>',
+        "ppt/slides/slide9.xml": wrap(sp('<p:ph type="title"/>', "Title") + sp('<p:ph idx="7"/>', "Body") + sp('<p:ph type="dt"/>', "lost") + sp("", "", box(10, 400, 100, 100, '<a:solidFill><a:srgbClr val="00FF00"/></a:solidFill>')) + f'<p:pic><p:blipFill><a:blip r:embed="i"/></p:blipFill>{box(300, 400, 100, 100)}</p:pic>'),
+        "ppt/slides/_rels/slide9.xml.rels": '<Relationships><Relationship Id="l" Target="../slideLayouts/l.xml"/><Relationship Id="i" Target="../media/i.png"/></Relationships>',
+        "ppt/slideLayouts/l.xml": wrap(sp('<p:ph type="title"/>', "", box(50, 20, 600, 80))), "ppt/slideLayouts/_rels/l.xml.rels": '<Relationships><Relationship Id="m" Target="../slideMasters/m.xml"/></Relationships>',
+        "ppt/slideMasters/m.xml": wrap(sp('<p:ph type="body" idx="7"/>', "", box(50, 120, 600, 200))), "ppt/slideMasters/_rels/m.xml.rels": '<Relationships><Relationship Id="t" Target="../theme/theme2.xml"/></Relationships>',
+        "ppt/theme/theme2.xml": '<a:theme xmlns:a="a"><a:clrScheme><a:accent1><a:srgbClr val="FF0000"/></a:accent1></a:clrScheme></a:theme>', "ppt/media/i.png": png.encode_png(made.Grid(np.full((2, 2, 4), (0, 0, 255, 255), np.uint8))),
+    }
+    s = pptx.parse_pptx(zipped(files))
+    assert [x.box for x in s.shapes] == [(50, 20, 600, 80), (50, 120, 600, 200), (10, 400, 100, 100), (300, 400, 100, 100)]
+    assert s.shapes[0].paras[0].runs[0].color == "FF0000" and s.shapes[0].anchor == "middle" and s.size == (720.0, 540.0)
+    g = pptx.decode_pptx(zipped(files))
+    k = 1024 / 720
+    assert rgb(g, 5, 5) == (255, 255, 224) and rgb(g, int(50 * k), int(450 * k)) == (0, 255, 0) and rgb(g, int(350 * k), int(450 * k)) == (0, 0, 255) and (g.rgba[..., :3] == (255, 0, 0)).all(-1).any()
+
+
+def test_ppt():
+    import struct
+
+    from mosaiq.formats import ppt
+
+    rec = lambda kind, body=b"", instance=0, version=0: struct.pack("<HHI", instance << 4 | version, kind, len(body)) + body
+    box = lambda kind, *bodies, instance=0: rec(kind, b"".join(bodies), instance, 15)
+    style = struct.pack("<IHI", 12, 0, 0) + struct.pack("<IIHH", 5, 0x20001, 1, 30) + struct.pack("<II", 7, 0)
+    outline = box(ppt.LIST, rec(ppt.PERSIST, b"\0" * 20), rec(ppt.HEADER, struct.pack("<I", 0)), rec(ppt.BYTES, b"Hello\rworld"), rec(ppt.STYLE, style), rec(ppt.PERSIST, b"\0" * 20), rec(ppt.HEADER, struct.pack("<I", 0)), rec(ppt.BYTES, b"second"))
+    document = box(ppt.DOCUMENT, rec(ppt.DOCUMENT_ATOM, struct.pack("<II", 5760, 4320) + b"\0" * 32), outline)
+    shape = box(ppt.SHAPE, rec(ppt.SP, b"\0" * 8, 1), rec(ppt.OPTIONS, struct.pack("<HI", 0x181, 0x0000FF), 1), rec(ppt.CLIENT_ANCHOR, struct.pack("<hhhh", 80, 160, 960, 400)), box(ppt.TEXTBOX, rec(3998, b"\0\0\0\0")))
+    slide = box(ppt.SLIDE, rec(1007, b"\0" * 24), box(1036, box(ppt.DRAWING, box(ppt.GROUP, shape))))
+    data = ole2({"PowerPoint Document": (document + slide).ljust(5000, b"\0")})
+    s = ppt.parse_ppt(data)
+    assert s.size == (720.0, 540.0) and s.shapes[0].box == (20.0, 10.0, 100.0, 40.0) and s.shapes[0].fill == "ff0000"
+    assert [[(r.text, r.size, r.bold) for r in p.runs] for p in s.shapes[0].paras] == [[("Hello", 30.0, True)], [("world", 44.0, False)]]
+    only = ppt.parse_ppt(ole2({"PowerPoint Document": document.ljust(5000, b"\0")}))
+    assert only.shapes[0].paras[0].runs[0].text == "Hello"
+    assert ppt.decode_ppt(data).width == 1024
+
+
+def test_webp_container():
+    import struct
+
+    from mosaiq.formats import webp
+
+    frame = struct.pack("<4sI", b"VP8L", 5) + b"\x2f" + struct.pack("<I", 9 | 19 << 14) + b"\0"
+    anmf = b"\0" * 6 + (9).to_bytes(3, "little") + (19).to_bytes(3, "little") + b"\0" * 4 + frame
+    data = struct.pack("<4sI4s", b"RIFF", 0, b"WEBP") + struct.pack("<4sI", b"ANMF", len(anmf)) + anmf
+    assert webp.size(webp.first_frame(data)) == (10, 20) and webp.first_frame(data)[12:16] == b"VP8L"
+    with pytest.raises(DecodeError, match="10x20"):
+        webp.decode_webp(data)
