@@ -13,6 +13,10 @@ from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, simhash
 from mosaiq.llm.shared import written
 
 
+#: Words to a shingle, and fingerprints to a document, of the near-duplicate stage.
+SHINGLE, PRINTS = 5, 4
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects (no letters, or far from every language) go."""
     found = language_id.predict_documents(docs, language_id.fit_documents(docs), keep=("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
@@ -27,8 +31,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays; rows of one id count as one, rows without id stay."""
-    keep = simhash.near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near copies (shingles of five words, four fingerprints) the document of smallest id stays; rows of one
+    id count as one, rows without id stay."""
+    keep = simhash.near_groups(docs, words=SHINGLE, prints=PRINTS).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     named = named.withColumn("nth_row", F.row_number().over(first)).where("nth_row = 1")

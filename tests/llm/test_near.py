@@ -20,13 +20,22 @@ def union(n, links):
     return [top(i) for i in range(n)]
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, n=4, nth=0):
     import re
 
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
-    shingles = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    if nth:
+        top = (1 << 64) - 1
+        mixed = []
+        for h in hashes:
+            x = (h + nth * 0x9E3779B97F4A7C15) & top
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+            mixed.append(x ^ x >> 31)
+        hashes = mixed
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -65,7 +74,7 @@ def test_links_of_many_close_fingerprints(spark, many, monkeypatch):
             x ^= 1 << int(b)
         fps.add(x)
     fps = sorted(fps)
-    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs.selectExpr("doc_id", "cast(text as long) as fp"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *a: docs.selectExpr("doc_id", "array(cast(text as long)) as fps"))
     docs = spark.createDataFrame([(i, str(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "doc_id long, text string")
     tops = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_groups(docs).collect()) == list(enumerate(tops))

@@ -54,8 +54,8 @@ def brute(rows, model):
         text = "\n".join(kept)
         if text == r["text"] or re.search(r"\S", text):
             cut.append({**r, "text": text})
-    fps = [plain_fingerprint(r["text"]) for r in cut]
-    tops = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    fps = [[plain_fingerprint(r["text"], 5, k) for k in range(4)] for r in cut]
+    tops = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i], fps[j], strict=True))])
     least = defaultdict(lambda: 1 << 62)
     for r, t in zip(cut, tops, strict=True):
         least[t] = min(least[t], r["doc_id"])
