@@ -381,3 +381,37 @@ def test_webp_container():
     assert webp.size(webp.first_frame(data)) == (10, 20) and webp.first_frame(data)[12:16] == b"VP8L"
     with pytest.raises(DecodeError, match="10x20"):
         webp.decode_webp(data)
+
+
+def mp4_file(sync=True):
+    import struct
+
+    box = lambda kind, *parts: struct.pack(">I", 8 + len(b"".join(parts))) + kind + b"".join(parts)
+    words = lambda *v: struct.pack(f">{len(v)}I", *v)
+    media = bytes(range(200))
+    ftyp = box(b"ftyp", b"isom\0\0\0\0")
+    base = len(ftyp) + 8
+    avc = b"\1\x42\0\x1e\xff\xe1\0\2\x67\x01\1\0\2\x68\x02"
+    entry = box(b"avc1", b"\0" * 24 + struct.pack(">HH", 64, 48) + b"\0" * 50, box(b"avcC", avc))
+    tables = [box(b"stsd", words(0, 1), entry), box(b"stts", words(0, 2, 10, 100, 10, 50)), box(b"stsc", words(0, 2, 1, 3, 1, 3, 7, 1)), box(b"stsz", words(0, 0, 20, *range(5, 25))), box(b"stco", words(0, 4, *(base + 50 * i for i in range(4))))]
+    if sync:
+        tables.append(box(b"stss", words(0, 3, 1, 2, 9)))
+    trak = box(b"trak", box(b"mdia", box(b"hdlr", words(0, 0), b"vide" + b"\0" * 12), box(b"minf", box(b"stbl", *tables))))
+    return ftyp + box(b"mdat", media) + box(b"moov", box(b"trak", box(b"mdia", box(b"hdlr", words(0, 0), b"soun"))), trak)
+
+
+def test_mp4_tables():
+    from mosaiq.formats import mp4
+
+    t = mp4.video_track(mp4_file())
+    assert (t.width, t.height, t.codec) == (64, 48, "avc1") and t.stsc == [(1, 3), (3, 7)]
+    assert mp4.target_sample(t) == 3 and mp4.sync_sample(t, 8) == 2 and mp4.sync_sample(t, 9) == 9
+    base = t.chunks[0]
+    assert mp4.sample_place(t, 2) == (base + 5, 6) and mp4.sample_place(t, 4) == (base + 50, 8) and mp4.sample_place(t, 8) == (base + 100 + 11, 12)
+    track, frame = mp4.key_frame(mp4_file())
+    assert frame == bytes(range(5, 11)) and mp4.sync_sample(mp4.video_track(mp4_file(False)), 2) == 2
+    assert mp4.nal_units(b"\0\0\0\2ab", track.parameters) == [b"\x67\x01", b"\x68\x02", b"ab"]
+    with pytest.raises(DecodeError, match="64x48"):
+        mp4.decode_mp4(mp4_file())
+    with pytest.raises(DecodeError):
+        mp4.decode_mp4(b"\0\0\0\x08ftyp")
