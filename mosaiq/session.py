@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +31,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be of any file system that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, unless their Python finds it anyway (by PYTHONPATH or the working folder)."""
+    root = Path(__file__).resolve().parents[1]
+    found = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in found or Path.cwd() == root or spark.sparkContext.applicationId in _SHIPPED:
+        return
+    packed = Path(tempfile.mkdtemp(prefix="mosaiq-")) / "mosaiq.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted((root / "mosaiq").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(packed))
+    _SHIPPED.add(spark.sparkContext.applicationId)
