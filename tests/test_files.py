@@ -106,7 +106,8 @@ def plain_fill(lines, w, h, even_odd):
                 begin = x
             if shuts and begin is not None:
                 a, b = max(0, int(np.floor(begin))), min(w - 1, int(np.floor(x)))
-                out[y, a : b + 1] = True
+                if a <= b:
+                    out[y, a : b + 1] = True
     return out
 
 
