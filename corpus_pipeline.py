@@ -13,6 +13,8 @@ from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, simhash
 from mosaiq.llm.shared import written
 
 
+#: A document of which less than this share of characters is left after line deduplication is a copy's remnant, and goes.
+LEAST_LEFT = 0.3
 #: Words to a shingle, and fingerprints to a document, of the near-duplicate stage.
 SHINGLE, PRINTS = 5, 4
 
@@ -24,10 +26,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, and documents of which nothing is left."""
+    """Repeated chunks of lines go, and documents of which little or nothing is left: what isn't in a chunk of two lines
+    stays of a copy, and would no longer be found as one."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = line_dedup.line_dedup(docs, keep=others).where("n_removed = 0 or kept_text rlike '\\\\S'")
-    return found.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    sized = docs.withColumn("length_before", F.length("text"))
+    found = line_dedup.line_dedup(sized, keep=(*others, "length_before"))
+    left = (F.col("n_removed") == 0) | (F.length("kept_text") >= F.col("length_before") * LEAST_LEFT) & F.col("kept_text").rlike("\\S")
+    return found.where(left).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

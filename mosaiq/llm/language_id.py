@@ -4,7 +4,8 @@ A text is a vector of hashed byte n-grams (2 to 4 bytes of its lower-cased lette
 weighted by (1 + log tf) * idf and normalised. Each language has CENTROIDS centroids, found by spherical k-means over its
 labelled texts; a text gets the language of the centroid of highest cosine. Rejection is by distance: a text whose best
 cosine is below the language's own limit (a low quantile of its training texts, times a slack), or which has no
-letters, is rejected.
+letters, is rejected. A text of fewer than LEAST_GRAMS n-grams says too little for a distance, and is not rejected
+unless it has none in common with any language.
 
 The model is fitted on a bounded sample: at most TRAIN_ROWS labelled rows, those of least id hash over the whole
 table, whole texts. Neither the label, the source nor the id is an input of a prediction. Null texts and texts without
@@ -27,6 +28,7 @@ ORDERS = (2, 3, 4)
 TRAIN_ROWS = 2000
 CENTROIDS = 4
 REJECT_QUANTILE, REJECT_SLACK = 0.01, 0.5
+LEAST_GRAMS = 300
 ROUNDS = 12
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -53,20 +55,21 @@ class Model:
     owner: np.ndarray
     limits: np.ndarray
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """Bins, normalised weights, and the number of n-grams."""
         at, tf = features(text)
         w = (1 + np.log(tf)) * self.idf[at]
-        return at, (w / max(np.sqrt((w * w).sum()), 1e-12)).astype(np.float32)
+        return at, (w / max(np.sqrt((w * w).sum()), 1e-12)).astype(np.float32), int(tf.sum())
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0, True
-        at, w = self.vector(text)
+        at, w, grams = self.vector(text)
         cosine = w @ self.centroids[at]
         k = int(cosine.argmax())
         score = float(min(1.0, max(0.0, cosine[k])))
-        return self.languages[self.owner[k]], score, score < self.limits[self.owner[k]]
+        return self.languages[self.owner[k]], score, score < (self.limits[self.owner[k]] if grams >= LEAST_GRAMS else 1e-6)
 
 
 def has_letter(text: str) -> bool:
@@ -102,7 +105,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
         own = [t for t, x in rows if x == lang]
         x = np.zeros((len(own), 1 << BITS), np.float32)
         for i, t in enumerate(own):
-            at, w = model.vector(t)
+            at, w, _ = model.vector(t)
             x[i, at] = w
         found = _cluster(x, CENTROIDS)
         limits.append(float(np.quantile((x @ found.T).max(1), REJECT_QUANTILE)) * REJECT_SLACK)

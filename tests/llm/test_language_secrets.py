@@ -32,7 +32,8 @@ def test_rejects_what_is_far():
     model = language_id.fit(texts, ["en"] * 60 + ["de"] * 60)
     assert model.predict("the dog and the cat went home") [0] == "en"
     assert not model.predict("the dog and the cat went home")[2]
-    assert model.predict("щит и меч ждут нас всех там")[2]
+    assert model.predict("щит и меч ждут нас всех там" * 9)[2]
+    assert not model.predict("el perro")[2]
     assert model.predict(None) == ("und", 0.0, True)
 
 

@@ -52,7 +52,7 @@ def brute(rows, model):
     for r in rows:
         kept = ["\n".join(c) for k, c in enumerate(brute_chunks(r["text"])) if len(c) < 2 or not re.search(r"\S", "\n".join(c)) or first["\n".join(c)] == (r["doc_id"], k)]
         text = "\n".join(kept)
-        if text == r["text"] or re.search(r"\S", text):
+        if text == r["text"] or re.search(r"\S", text) and len(text) >= len(r["text"]) * 0.3:
             cut.append({**r, "text": text})
     fps = [[plain_fingerprint(r["text"], 5, k) for k in range(4)] for r in cut]
     tops = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i], fps[j], strict=True))])
