@@ -145,3 +145,8 @@ def wrap(words: Column, width: Column, space: Column) -> Column:
         return F.struct(F.array_append(state["out"], F.struct(line.alias("line"), word.alias("word"))).alias("out"), line.alias("line"), used.cast("int").alias("used"))
 
     return F.aggregate(words, start, put, lambda s: s["out"])
+
+
+def base64_line(content: Column) -> Column:
+    """Base64 without the line breaks that Spark's own may have."""
+    return F.regexp_replace(F.base64(content), "[\r\n]", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.functions.text import base64_line
 from mosaiq.operators.detect import detect_type
 from mosaiq.operators.limits import MAX_INPUT_BYTES
 
@@ -27,7 +28,7 @@ def with_type(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def as_base64(thumbs: DataFrame) -> DataFrame:
-    return thumbs.withColumn("png_base64", F.base64("png"))
+    return thumbs.withColumn("png_base64", base64_line(F.col("png")))
 
 
 def write_pngs(thumbs: DataFrame, path: str, key: str = "path") -> DataFrame:
