@@ -111,7 +111,7 @@ def detect_type(content: Column, strict: bool = False) -> Column:
     strict also repairs what the plain order gets wrong: a true-colour TGA without map starts as a CUR does, and a PPTX or DOCX
     whose first member isn't its own folder is known by its main part.
     """
-    signed = {t: F.lit(False) for t in ()}
+    signed: dict[str, Column] = {}
     for t, rules in SIGNATURES.items():
         found = F.lit(False)
         for offset, magic in rules:

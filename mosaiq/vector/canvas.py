@@ -85,12 +85,10 @@ class Canvas:
         i = np.flatnonzero(opens)
         j = np.flatnonzero(shuts)
         if len(i) != len(j):  # an odd number of crossings leaves its last span open
-            last = np.append(start[1:], True)
             keep = np.searchsorted(j, i)
             good = keep < len(j)
             good[good] &= line[j[keep[good]]] == line[i[good]]
             i, j = i[good], j[keep[good]]
-            del last
         x0, x1 = np.maximum(0, np.floor(x[i])).astype(np.int64), np.minimum(width - 1, np.floor(x[j])).astype(np.int64)
         good = x0 <= x1
         x0, x1, rows = x0[good], x1[good], line[i][good]
