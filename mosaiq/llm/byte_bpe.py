@@ -27,7 +27,7 @@ LONG = 512
 NONE = np.int64(1 << 40)
 #: Unicode's White_Space, as the Rust library reads \s; Python's also has the separators 1C-1F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_MOST = 300_000
+_MOST = 200_000
 
 
 class PairTable:
