@@ -9,14 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, simhash
+from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, near_copies
 from mosaiq.llm.shared import written
 
 
 #: A document of which less than this share of characters is left after line deduplication is a copy's remnant, and goes.
 LEAST_LEFT = 0.3
-#: Words to a shingle, and fingerprints to a document, of the near-duplicate stage.
-SHINGLE, PRINTS = 5, 4
+#: Words to a shingle of the near-duplicate stage.
+SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (shingles of five words, four fingerprints) the document of smallest id stays; rows of one
-    id count as one, rows without id stay."""
-    keep = simhash.near_groups(docs, words=SHINGLE, prints=PRINTS).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near copies (sets of five-word shingles that overlap by 0.8 or more) the document of smallest id stays;
+    rows of one id count as one, rows without id stay."""
+    keep = near_copies.near_copies(docs, words=SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     named = named.withColumn("nth_row", F.row_number().over(first)).where("nth_row = 1")

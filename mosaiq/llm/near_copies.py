@@ -1,0 +1,156 @@
+"""Near copies by the similarity of shingle sets: MinHash bands find candidates, exact Jaccard decides.
+
+Words and shingles are those of mosaiq.llm.simhash: A-Z are lower-cased, shingles are `words` consecutive words (the whole
+sequence where there are fewer), hashed with XXH64. Two texts are linked where their sets of hashes overlap by SIMILAR
+(0.8, the bound included) or more; a group is what links reach. Texts without words are copies of each other.
+
+Candidates: BANDS keys of ROWS minima each. A pair of similarity s shares one of 24 keys of 6 minima with probability
+1 - (1 - s^6)^24: 0.9993 at 0.8, 0.99999 at 0.85. Texts that share a key are put into one candidate group. Each candidate
+group's texts are gathered once, and searched breadth-first by exact similarity, which gives a spanning forest of its
+links. Groups of more than BLOCK shingles are dealt into blocks, and each pair of blocks is searched on its own.
+
+Equal texts are one entry, however many documents have them.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mosaiq.llm.shared import components, discard, written
+from mosaiq.llm.simhash import SEED, remixed
+
+WORDS, BANDS, ROWS, BLOCK = 5, 24, 6, 1 << 20
+#: Least overlap of two sets: numerator, denominator.
+SIMILAR = (4, 5)
+_FAR = 1 << 62
+_TIMES, _PLUS = ((remixed(np.arange(BANDS * ROWS, dtype=np.uint64), k) >> np.uint64(32)).astype(np.uint32)[:, None] for k in (1, 2))
+_TIMES |= np.uint32(1)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; one for a text without words."""
+    raw = (text or "").encode("utf-8", "replace").lower().split()  # bytes: ASCII letters and white space only
+    joined = b" ".join(raw)
+    ends = np.cumsum([len(w) + 1 for w in raw] or [1]) - 1
+    n = max(1, len(raw) - words + 1)
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[len(ends) - n :].tolist(), strict=True)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    low, least = hashes.astype(np.uint32), None
+    for i in range(0, len(low), 1024):
+        part = (low[i : i + 1024] * _TIMES + _PLUS).min(1)
+        least = part if least is None else np.minimum(least, part)
+    raw, step = least.tobytes(), 4 * ROWS
+    return [xxhash.xxh64_intdigest(raw[k * step : (k + 1) * step], k) for k in range(BANDS)]
+
+
+def _sketch(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), words) for t in batch.column(2)]
+            keys = np.array([band_keys(s) for s in sets], np.uint64).view(np.int64).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), lists], names=["doc_id", "name", "size", "keys"])
+
+    return run
+
+
+def _star(batches):
+    """Streams postings sorted by key; each node of a list is linked to its first."""
+    held_key, held = None, 0
+    for batch in batches:
+        key, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(key):
+            continue
+        new = np.concatenate(([key[0] != held_key], key[1:] != key[:-1]))
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at < 0, held, node[at])
+        held_key, held = key[-1], first[-1]
+        far = node != first
+        yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(first[far])], names=["u", "v"])
+
+
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning forest, as index pairs, of the links among sets of hashes."""
+    sizes = np.array([len(s) for s in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    mark = np.zeros(codes.max() + 1, np.uint8)
+    links, left, among = [], np.arange(len(sets)), np.arange(len(sets))
+    while len(left) > 1:
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            if 2 * len(left) < len(among):
+                codes, among = np.concatenate([own[i] for i in left]), left
+            f = front.pop()
+            mark[own[f]] = 1
+            common = np.add.reduceat(mark[codes], np.cumsum(sizes[among]) - sizes[among], dtype=np.int64)[np.searchsorted(among, left)]
+            mark[own[f]] = 0
+            near = common * SIMILAR[1] >= (sizes[left] + sizes[f] - common) * SIMILAR[0]
+            links += [(int(f), i) for i in left[near].tolist()]
+            front += left[near].tolist()
+            left = left[~near]
+    return links
+
+
+def _verify(words: int):
+    """Streams members sorted by group and pair of blocks."""
+
+    def run(batches):
+        now, last, nodes, sets = None, None, [], []
+
+        def links():
+            found = np.array(similar_links(sets) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+            ends = np.array(nodes, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ends[found[:, 0]]), pa.array(ends[found[:, 1]])], names=["u", "v"])
+
+        for batch in batches:
+            for group, pair, node, name, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, pair) != now:
+                    if nodes:
+                        yield links()
+                    now, last, nodes, sets = (group, pair), None, [], []
+                if (node, name) != last:  # rows without id may stand there several times
+                    last = node, name
+                    nodes.append(node)
+                    sets.append(shingles(text, words))
+        if nodes:
+            yield links()
+
+    return run
+
+
+def near_copies(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, component_id (smallest id reachable by links).
+
+    Documents without an id reach others and are reached; a component of only such documents has a null component_id.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("name"), text.alias("text"))
+    stand_in = F.lit(_FAR) + F.pmod(F.xxhash64("name"), F.lit(1 << 61))
+    found = written(rows.mapInArrow(_sketch(words), "doc_id long, name binary, size long, keys array<bigint>"), "sketches")
+    classes = written(found.groupBy("name", "size", "keys").agg(F.min("doc_id").alias("node")).withColumn("node", F.coalesce("node", stand_in)), "classes")
+    postings = classes.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    near = components(postings.mapInArrow(_star, "u long, v long"))
+    groups = near.unionByName(near.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("node"), F.col("v").alias("group"))
+    members = written(classes.join(groups.hint("merge"), "node").select("group", "node", "name", "size"), "members")
+    blocks = members.groupBy("group").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    members = members.join(blocks.hint("merge"), "group").select("group", "node", "name", "blocks", block.alias("block"))
+    texts = rows.select(F.coalesce("doc_id", stand_in).alias("node"), "name", "text").join(members.hint("merge"), ["node", "name"])
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
+    pair = F.explode(F.transform(others, lambda x: F.least(x, "block").cast("long") * F.col("blocks") + F.greatest(x, "block")))
+    dealt = texts.select("group", pair.alias("pair"), "node", "name", "text").repartition(parts, "group", "pair")
+    labels = components(dealt.sortWithinPartitions("group", "pair", "node", "name").mapInArrow(_verify(words), "u long, v long"))
+    roots = written(classes.join(labels, classes["node"] == labels["u"], "left").select("name", F.coalesce("v", "node").alias("root")), "roots")
+    discard(classes)
+    return found.select("doc_id", "name").join(roots.hint("merge"), "name").select("doc_id", F.when(F.col("root") < _FAR, F.col("root")).alias("component_id"))

@@ -1,0 +1,66 @@
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from mosaiq.llm import near_copies
+from tests.llm.test_near import union
+
+
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"new{rng.random()}"
+    return words
+
+
+def texts_near_the_bound(seed=3, bases=60):
+    rng = random.Random(seed)
+    out = []
+    for b in range(bases):
+        base = [f"b{b}w{rng.randrange(10**6)}" for _ in range(rng.randrange(120, 400))]
+        out.append(" ".join(base))
+        for share in (0.012, 0.018, 0.022, 0.026, 0.04):
+            out.append(" ".join(edited(rng, base, max(1, round(share * len(base))))))
+    return out
+
+
+def kept_by_brute(rows):
+    sets = [plain_shingles(t) for _, t in rows]
+    tops = union(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    least = {}
+    for (i, _), t in zip(rows, tops, strict=True):
+        least[t] = min(i, least.get(t, i))
+    return sorted(least.values())
+
+
+def test_stage_links_from_0_8_on(spark):
+    rows = list(enumerate(texts_near_the_bound()))
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_near(spark, docs, "").collect()) == kept_by_brute(rows)
+
+
+def test_blocks_give_the_same_groups(spark, monkeypatch):
+    rows = list(enumerate(texts_near_the_bound(5, 12)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(near_copies.near_copies(docs).collect())
+    monkeypatch.setattr(near_copies, "BLOCK", 300)
+    assert sorted(near_copies.near_copies(docs).collect()) == whole
+    assert sorted({r["component_id"] for r in whole}) == kept_by_brute(rows)
+
+
+def test_bound_itself_is_near():
+    a, b = np.arange(9, dtype=np.uint64), np.arange(1, 10, dtype=np.uint64)  # 8 of 10
+    c = np.arange(2, 11, dtype=np.uint64)  # 7 of 11 with a, 8 of 10 with b
+    assert near_copies.similar_links([a, b]) == [(0, 1)]
+    assert near_copies.similar_links([a, c]) == []
+    assert len(near_copies.similar_links([a, c, b])) == 2
