@@ -13,7 +13,8 @@ from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, near_copies
 from mosaiq.llm.shared import written
 
 
-#: A document of which less than this share of characters is left after line deduplication is a copy's remnant, and goes.
+#: A document of which less than this share of characters is left after line deduplication, each line of it being in a document
+#: that stays, is a copy's remnant, and goes.
 LEAST_LEFT = 0.3
 #: Words to a shingle of the near-duplicate stage.
 SHINGLE = 5
@@ -26,13 +27,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, and documents of which little or nothing is left: what isn't in a chunk of two lines
-    stays of a copy, and would no longer be found as one."""
+    """Repeated chunks of lines go, and documents of which nothing but blanks is left. Of those of which little is left, the ones
+    go whose every line is also in a document of which more is left (what isn't in a chunk of two lines stays of a copy, and
+    would no longer be found as one); a line found nowhere else, or a chunk removed elsewhere for this one, keeps its document."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     sized = docs.withColumn("length_before", F.length("text"))
     found = line_dedup.line_dedup(sized, keep=(*others, "length_before"))
-    left = (F.col("n_removed") == 0) | (F.length("kept_text") >= F.col("length_before") * LEAST_LEFT) & F.col("kept_text").rlike("\\S")
-    return found.where(left).withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    little = (F.col("n_removed") > 0) & (F.length("kept_text") < F.col("length_before") * LEAST_LEFT)
+    cut = written(found.where((F.col("n_removed") == 0) | F.col("kept_text").rlike("\\S")).withColumn("__little", F.coalesce(little, F.lit(False))), "cut")
+    name = F.sha2("kept_text", 256).alias("__name")
+    lines = F.explode(F.array_distinct(F.filter(F.split("kept_text", "\n", -1), lambda x: x.rlike("\\S"))))
+    digests = lambda part: part.select(name, lines.alias("line")).select("__name", F.unhex(F.sha2("line", 256)).alias("line"))
+    known = digests(cut.where("not __little")).select("line").distinct()
+    own = digests(cut.where("__little")).join(known.hint("merge"), "line", "left_anti").select("__name").distinct()
+    held = cut.where("__little").withColumn("__name", name).join(own.hint("merge"), "__name", "left_semi")
+    left = cut.where("not __little").unionByName(held.select(*cut.columns))
+    return left.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
