@@ -10,7 +10,7 @@ LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(60_000))
 TEXTS = [
     (1, "alpha beta gamma", "en", "b", 3), (2, "alpha beta gamma", "en", "a", 3), (3, None, None, None, None), (4, "", "de", "a", 0), (5, " \n\t ", "de", "b", 4),
     (6, LONG, "en", "hot", 1), (7, LONG, "en", "hot", 1), (8, "ünïcödé 数字 \U0001f600 text", "fr", "hot", 2), (9, "alpha beta gamma", None, None, 3), (10, "one", "fr", "c", 1),
-    (11, "1234 5678", "en", "c", 1), (11, "1234 5678", "en", "c", 1), (None, "no id here", "en", "c", 1),
+    (11, "1234 5678", "en", "c", 1), (11, "1234 5678", "en", "c", 1), (None, "no id here", "en", "c", 1), (12, "a <|endoftext|> b <|startoftext|>", "en", "c", 1),
 ]
 
 

@@ -14,8 +14,9 @@ from tests.oracle import SF
 
 MULTI, WORD = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 BPE = byte_bpe.codec(MULTI, P.PATTERN)
+PLAIN = Tokenizer.from_file(WORD)
 TIK = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(MULTI), special_tokens={})
-ODD = ["", " ", "  a", "a  b", " a", "a ", "a\n b", "a \nb", "\n\n x", "it's we'll 'S", " 's", "x" * 700, "ab" * 3000, "\x1c a\x1db", "²½ 12 ٣", "a\xa0b \u2003 c", "ﬁ ǅ", "\U0001f600\U0001f600  😀", "<|endoftext|> x", "ΑΣ Σ", "İstanbul e\u0301 é", "a...b, c!! d."]
+ODD = ["", " ", "  a", "a  b", " a", "a ", "a\n b", "a \nb", "\n\n x", "it's we'll 'S", " 's", "x" * 700, "ab" * 3000, "\x1c a\x1db", "²½ 12 ٣", "a\xa0b \u2003 c", "ﬁ ǅ", "\U0001f600\U0001f600  😀", "<|endoftext|> x", "a <|endoftext|> b<|startoftext|>c <|EndOfText|>", "<|endoftext", "\x1ca\x1f b", "e\u0301 \u0301x K\u212aelvin", "ΑΣ Σ", "İstanbul e\u0301 é", "a...b, c!! d."]
 
 
 @given(st.lists(st.text(max_size=60), max_size=8))
@@ -35,13 +36,13 @@ def test_bpe_odd_texts():
 @settings(max_examples=300, deadline=None)
 def test_words_as_library(t):
     own = token_files._encoder(WORD)
-    assert np.frombuffer(own.encode(t), own.wide).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode(t), own.wide).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
 
 
 def test_words_odd_texts():
     own = token_files._encoder(WORD)
     for t in ODD:
-        assert np.frombuffer(own.encode(t), own.wide).tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert np.frombuffer(own.encode(t), own.wide).tolist() == PLAIN.encode(t, add_special_tokens=False).ids, t
 
 
 def _docs(spark, d):
@@ -52,7 +53,6 @@ def _docs(spark, d):
 def test_op2_against_library(spark, which, odd_docs, no_docs, as_table):
     d = SF if which == "sf" else as_table(odd_docs if which == "odd" else no_docs)
     t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
     want, start = [], 0
     for doc, text in _docs(spark, d):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
