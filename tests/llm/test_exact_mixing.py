@@ -28,21 +28,39 @@ def test_mph_is_minimal_and_rejects_others(n):
     pilots, slots = exact_dedup.build_mph(keys)
     assert sorted(slots) == list(range(n))
     back = np.argsort(slots)
-    index = {"n": n, "pilots": pilots.tobytes(), "digests": keys[back].tobytes(), "winners": back.astype(np.int64).tobytes(), "sizes": np.ones(n, np.int64).tobytes()}
-    member, winner, _ = exact_dedup.lookup_mph(index, keys)
-    assert member.all() and (winner == np.arange(n)).all()
+    index = {"n": n, "pilots": pilots, "digests": keys[back]}
+    member, slot = exact_dedup.lookup_mph(index, keys)
+    assert member.all() and (slot == slots).all()
     others = np.frombuffer(b"".join(map(digest, range(n, 2 * n))), np.uint8).reshape(-1, 32)
     assert not exact_dedup.lookup_mph(index, others)[0].any()
+    with pytest.raises(ValueError):
+        exact_dedup.build_mph(np.concatenate((keys, keys[:1])))
+
+
+TWO = "doc_id long, text string"
 
 
 def test_history_and_nonmembers(spark):
-    docs = spark.createDataFrame([(1, "old"), (2, "new"), (3, "new"), (4, "solo")], "doc_id long, text string")
-    old = exact_dedup.group_digests(exact_dedup.text_digests(spark.createDataFrame([(100, "old")], "doc_id long, text string")))
-    got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.exact_dedup(docs, history=old).collect()}
-    assert got == {1: (100, False), 2: (3, False), 3: (3, True), 4: (4, True)}
+    docs = spark.createDataFrame([(1, "old"), (2, "new"), (3, "new"), (4, "solo")], TWO)
+    old = exact_dedup.group_digests(exact_dedup.text_digests(spark.createDataFrame([(100, "old"), (90, "unseen")], TWO)))
+    for history in (old, old.unionByName(old)):  # a digest that is there twice is merged
+        got = {r["doc_id"]: (r["keep_id"], r["kept"], r["repeats_history"]) for r in exact_dedup.exact_dedup(docs, history=history).collect()}
+        assert got == {1: (100, False, True), 2: (3, False, False), 3: (3, True, False), 4: (4, True, False)}
+
+
+def test_any_id_and_both_branches(spark, as_table):
+    big = (1 << 63) - 1
+    texts = [(-5, "a"), (-7, "a"), (None, "a"), (None, "b"), (None, "b"), (big, "c"), (-big, "c"), (big - 1, "d"), (big - 2, "d"), (-big + 1, "e"), (-big + 2, "e"), (0, "f"), (None, "f"), (-1, "g"), (0, "h")]
+    d = as_table(spark.createDataFrame(texts, TWO))
+    same(catalog.queries()["op5_exact_dedup"](spark, d), catalog.oracle_sql()["op5_exact_dedup"], d)
+    d = as_table(spark.createDataFrame([(None, "x"), (None, "x"), (None, None)], TWO))
+    same(catalog.queries()["op5_exact_dedup"](spark, d), catalog.oracle_sql()["op5_exact_dedup"], d)
+    found = exact_dedup.exact_dedup(spark.createDataFrame([(i, f"t{i % 40}") for i in range(100)] + [(-100 + i, f"n{i % 7}") for i in range(30)], TWO)).collect()
+    assert {r["repeats_history"] for r in found if not r["kept"]} == {True, False}
 
 
-def test_hot_group_is_salted(spark):
+def test_hot_group_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_ROWS", 512)
     docs = spark.range(40_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'same', cast(id as string)) as text")
     got = exact_dedup.exact_dedup(docs)
     assert got.where("kept").count() == 40_000 - 13_334 + 1
