@@ -3,32 +3,37 @@
 A text is a vector of hashed byte n-grams (2 to 4 bytes of its lower-cased letters, runs of anything else being one space),
 weighted by (1 + log tf) * idf and normalised. Each language has CENTROIDS centroids, found by spherical k-means over its
 labelled texts; a text gets the language of the centroid of highest cosine. Rejection is by distance: a text whose best
-cosine is below the language's own limit (a low quantile of its training texts, times a slack), or which has no
-letters, is rejected. A text of fewer than LEAST_GRAMS n-grams says too little for a distance, and is not rejected
-unless it has none in common with any language.
+cosine is below the language's limit for texts of its length, or which has no letters, is rejected. The limits are fitted:
+a low quantile, times a slack, of the cosines of pieces of the training texts, by doublings of their number of n-grams.
 
 The model is fitted on a bounded sample: at most TRAIN_ROWS labelled rows, those of least id hash over the whole
-table, whole texts. Neither the label, the source nor the id is an input of a prediction. Null texts and texts without
-letters are `und` with score 0 and are rejected. Without any labelled row every text is `und`.
+table, whole texts up to TRAIN_CHARS characters (of a longer one that many from a place that its hash names). Neither the
+label, the source nor the id is an input of a prediction. Null texts and texts without letters are `und` with score 0 and
+are rejected. Without any labelled row every text is `und`. Texts of any length are read whole. Ties go to the first
+language in order. Rows are judged singly, so repeated rows and ids get the same result each; a null id is not held
+out. Empty tables give no rows; other columns, whatever their names, are carried in the struct `row` only.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UNKNOWN = "und"
 BITS = 14
 ORDERS = (2, 3, 4)
-TRAIN_ROWS = 2000
+TRAIN_ROWS, TRAIN_CHARS = 2000, 50_000
 CENTROIDS = 4
-REJECT_QUANTILE, REJECT_SLACK = 0.01, 0.5
-LEAST_GRAMS = 300
+REJECT_QUANTILE, REJECT_SLACK = 0.01, 0.6
+#: Characters of the pieces that limits are fitted on, beside whole texts; doublings of n-grams that have limits.
+PIECES, DOUBLINGS = tuple(8 << k for k in range(10)), 24
 ROUNDS = 12
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -53,7 +58,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # bins x (language, cluster), float32
     owner: np.ndarray
-    limits: np.ndarray
+    limits: np.ndarray  # language x doubling of n-grams
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
         """Bins, normalised weights, and the number of n-grams."""
@@ -69,7 +74,32 @@ class Model:
         cosine = w @ self.centroids[at]
         k = int(cosine.argmax())
         score = float(min(1.0, max(0.0, cosine[k])))
-        return self.languages[self.owner[k]], score, score < (self.limits[self.owner[k]] if grams >= LEAST_GRAMS else 1e-6)
+        return self.languages[self.owner[k]], score, score < self.limits[self.owner[k], doubling(grams)]
+
+
+def doubling(grams: int) -> int:
+    return min(DOUBLINGS, max(1, grams).bit_length()) - 1
+
+
+def _pieces(text: str):
+    """The text, and a piece of each length at a place that its checksum names."""
+    place = zlib.crc32(text.encode("utf-8", "replace"))
+    yield text
+    for n in PIECES:
+        if n < len(text):
+            at = place % (len(text) - n + 1)
+            yield text[at : at + n]
+
+
+def _limits(scores: list[tuple[int, float]]) -> np.ndarray:
+    """By doubling, the low quantile of the cosines there times the slack; doublings of few pieces take the nearest's."""
+    out, by = np.zeros(DOUBLINGS), {}
+    for d, score in scores:
+        by.setdefault(d, []).append(score)
+    known = sorted(d for d, x in by.items() if len(x) >= 20) or sorted(by)
+    if known:
+        out[:] = np.interp(np.arange(DOUBLINGS), known, [float(np.quantile(by[d], REJECT_QUANTILE)) * REJECT_SLACK for d in known])
+    return out
 
 
 def has_letter(text: str) -> bool:
@@ -99,8 +129,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     seen = np.zeros(1 << BITS)
     for at, _ in vectors:
         seen[at] += 1
-    model = Model(languages, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, int), np.zeros(0))
-    centres, owner, limits = [], [], []
+    model = Model(languages, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, int), np.zeros((0, DOUBLINGS)))
+    centres, owner = [], []
     for k, lang in enumerate(languages):
         own = [t for t, x in rows if x == lang]
         x = np.zeros((len(own), 1 << BITS), np.float32)
@@ -108,37 +138,47 @@ def fit(texts: list[str], labels: list[str]) -> Model:
             at, w, _ = model.vector(t)
             x[i, at] = w
         found = _cluster(x, CENTROIDS)
-        limits.append(float(np.quantile((x @ found.T).max(1), REJECT_QUANTILE)) * REJECT_SLACK)
         centres.append(found)
         owner += [k] * len(found)
-    return Model(languages, model.idf, np.ascontiguousarray(np.concatenate(centres).T) if centres else model.centroids, np.array(owner, int), np.array(limits))
+    if not centres:
+        return model
+    centroids, limits = np.ascontiguousarray(np.concatenate(centres).T), []
+    for lang in languages:
+        scores = []
+        for piece in (p for t, x in rows if x == lang for p in _pieces(t) if has_letter(p)):
+            at, w, grams = model.vector(piece)
+            scores.append((doubling(grams), float((w @ centroids[at]).max())))
+        limits.append(_limits(scores))
+    return Model(languages, model.idf, centroids, np.array(owner, int), np.array(limits))
 
 
 def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> tuple[list[str], list[str]]:
     """Texts and labels of at most `most` rows, those of least id hash; one pass over ids, one over texts."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    text = F.col(text_col)
+    spare = F.greatest(F.lit(0), F.length(text) - TRAIN_CHARS) + 1
+    piece = F.when(spare > 1, F.substring(text, (F.pmod(F.xxhash64(text), spare) + 1).cast("int"), F.lit(TRAIN_CHARS))).otherwise(text)
+    rows = labelled.where(F.col(lang_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("i"), piece.alias("t"), F.col(lang_col).alias("l"))
     order = F.pmod(F.xxhash64("i"), F.lit(1 << 40))
     share = min(1.0, 1.2 * most / max(1, labelled.where(F.col(lang_col).isNotNull()).count()))
-    got = rows.where(order < int(share * (1 << 40))).select("t", "l", order.alias("o"), "i").orderBy("o", "i", F.length("t")).limit(most).collect()
+    got = rows.where(order < int(share * (1 << 40))).select("t", "l", order.alias("o"), "i").orderBy("o", "i", F.length("t"), F.xxhash64("t"), "l").limit(most).collect()
     return [r["t"] for r in got], [r["l"] for r in got]
 
 
-def predict_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of each document, with the columns of docs named in keep."""
+def predict_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score, rejected of each document; with keep also `row`, a struct of all columns of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BITS and the centroids bound it
 
     def run(batches):
         own = held.value
         for batch in batches:
-            names = batch.schema.names
-            found = [own.predict(t.as_py()) for t in batch.column(names.index("__text"))]
-            columns = [c for n, c in zip(names, batch.columns, strict=True) if n != "__text"]
-            columns += [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(n for n in names if n != "__text"), "lang_pred", "score", "rejected"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c) for c in keep), F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(run, schema + ", lang_pred string, score double, rejected boolean")
+            texts = batch.column(1).field(text_col) if keep else batch.column(1)
+            found = [own.predict(t.as_py()) for t in texts]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[1 : 1 + keep]], names=["doc_id", "lang_pred", "score", "rejected", "row"][: 4 + keep])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row") if keep else F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField(n, k) for n, k in (("doc_id", T.LongType()), ("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType()))] + rows.schema.fields[1 : 1 + keep])
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(id_column: Column) -> Column:

@@ -27,16 +27,70 @@ def test_op7_odd_rows(spark, odd_docs, no_docs, as_table):
     assert catalog.queries()["op7_language_id"](spark, as_table(no_docs)).count() == 0
 
 
+def plain_predict(model, text):
+    """The nearest centroid read plainly: a dictionary of n-grams, one cosine at a time."""
+    import math
+    from collections import Counter
+
+    if not text or not model.languages or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    raw = (" " + re.sub(r"[\W\d_]+", " ", text.lower()) + " ").encode("utf-8", "replace")
+    bins = Counter()
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            bins[((int.from_bytes(raw[i : i + n], "big") * 2654435761 + n * 40503) & 0xFFFFFFFF) >> 18] += 1
+    weights = {b: (1 + math.log(tf)) * float(model.idf[b]) for b, tf in bins.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    cosines = [sum(w / norm * float(model.centroids[b, k]) for b, w in weights.items()) for k in range(model.centroids.shape[1])]
+    k = max(range(len(cosines)), key=cosines.__getitem__)
+    return model.languages[model.owner[k]], min(1.0, max(0.0, cosines[k])), cosines[k] < model.limits[model.owner[k]][min(23, sum(bins.values()).bit_length() - 1)]
+
+
+@pytest.mark.parametrize("which", ["sf", "odd", "none"])
+def test_op7_against_brute(spark, which, odd_docs, no_docs, as_table):
+    d = "/root/testdata/sf0.001" if which == "sf" else as_table(odd_docs if which == "odd" else no_docs)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = language_id.fit_documents(docs)
+    want = sorted((repr(r["doc_id"]), *plain_predict(model, r["text"])) for r in docs.collect())
+    got = sorted((repr(r["doc_id"]), r["lang_pred"], r["score"], r["rejected"]) for r in catalog.queries()["op7_language_id"](spark, d).collect())
+    assert [(g[0], g[1], g[3]) for g in got] == [(w[0], w[1], w[3]) for w in want]
+    assert all(abs(g[2] - w[2]) < 1e-5 for g, w in zip(got, want, strict=True))
+
+
 def test_rejects_what_is_far():
     texts = [f"the cat and the dog number {i} went home over the hill" for i in range(60)] + [f"der hund und die katze {i} gehen nach hause" for i in range(60)]
     model = language_id.fit(texts, ["en"] * 60 + ["de"] * 60)
     assert model.predict("the dog and the cat went home") [0] == "en"
     assert not model.predict("the dog and the cat went home")[2]
     assert model.predict("щит и меч ждут нас всех там" * 9)[2]
-    assert not model.predict("el perro")[2]
+    assert not model.predict("the hill")[2]
     assert model.predict(None) == ("und", 0.0, True)
 
 
+POLISH = """wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i
+powinni postępować wobec innych w duchu braterstwa każdy człowiek posiada wszystkie prawa i wolności""".split()
+CYRILLIC = """все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны
+поступать в отношении друг друга в духе братства""".split()
+
+
+def test_unseen_languages_are_rejected_at_any_length():
+    """Planted text of languages that no label names goes, from a few words on; held-out text stays."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 and r["text"]]
+    own = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    model = language_id.fit([r["text"] for r in own], [r["lang"] for r in own])
+    for words in (POLISH, CYRILLIC):
+        for n, least in ((4, 0.5), (8, 0.9), (16, 1.0), (24, 1.0)):
+            pieces = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+            assert sum(model.predict(p)[2] for p in pieces) >= least * len(pieces), n
+        assert model.predict(" ".join(words * 40))[2]
+    assert sum(model.predict(r["text"])[2] for r in held if language_id.has_letter(r["text"])) <= 0.005 * len(held)
+    short = [r["text"][:60] for r in held if len(r["text"]) > 200 and sum(c.isalpha() for c in r["text"][:60]) > 40]
+    assert sum(model.predict(x)[2] for x in short) <= 0.01 * len(short)
+
+
 def brute(text):
     """The contract's base spans, read plainly."""
     found = []
