@@ -35,12 +35,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-# Chunks end where the rolling polynomial over two line hashes is 0 modulo 4, as in line_dedup.
+# Lines are marked where the rolling polynomial over two line hashes is 0 modulo 3; chunks end at marked lines as in line_dedup.
 SQL3 = r"""
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
 ), l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
 ), c AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS code FROM l
-), e AS (SELECT *, (coalesce(lag(code) OVER w, 0) * 1000003 + code) % 2147483647 % 4 = 0 AS ends FROM c WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
+), m AS (SELECT *, (coalesce(lag(code) OVER w, 0) * 1000003 + code) % 2147483647 % 3 = 0 AS marked, count(*) OVER (PARTITION BY doc_id, text) AS n FROM c WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
+), e AS (SELECT *, marked AND i > 1 AND i < n - 1 AND (i = 2 OR NOT lag(marked) OVER (PARTITION BY doc_id, text ORDER BY i)) AS ends FROM m
 ), k AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM e
 ), p AS (SELECT doc_id, text, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS lines FROM k GROUP BY doc_id, text, k
 ), r AS (SELECT *, lines > 1 AND regexp_matches(chunk, '\S') AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, sha256(text), k) > 1 AS gone FROM p

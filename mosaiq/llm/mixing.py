@@ -9,7 +9,8 @@ seeded order that stops where the target is met. One document of a source at mos
 the MD5 of seed and id, so reruns agree whatever the partitioning. Sums before a document come from sums over
 (source, bucket of the MD5) and a window within the bucket only: a source with a third of all rows is never in one task.
 
-Null text has size 0 and is taken 0 times; rows of equal id and MD5 are ordered by size; a source without words has target 0. Empty tables give no rows.
+Null text has size 0 and is taken 0 times; rows of equal id and MD5 are ordered by size; a source without words has target 0.
+Texts of any length are counted whole. Empty tables give no rows; other columns, whatever their names, are not touched.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))), F.lit(0)).cast("long")
 
 
+def text_name(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from (source, size): one row for each source.
 
@@ -52,10 +57,11 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return per.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted)."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS, seed: int = SEED, with_name: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken (words, repeats counted); with_name also `name`, the
+    SHA-256 of the text, which with the id tells documents apart where ids are null or repeat."""
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("key"), *[text_name(F.col(text_col)).alias("name")] * with_name)
     rows = written(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "sizes")
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,4 +75,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0))
     rest = words - whole * F.col("source_size") - F.col("ahead") - F.col("inside")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return found.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return found.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *["name"] * with_name)

@@ -26,19 +26,42 @@ def test_chunks_resist_shifts(spark):
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["new line", *lines[:150]])), (3, "only\nhere"), (4, "\n\n\n"), (5, "\n\n\n")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
     assert got[1]["n_removed"] == 0 and got[1]["kept_text"] == "\n".join(lines)
-    assert 100 < got[2]["n_removed"] < 151 and got[2]["kept_text"].startswith("new line")
+    assert 120 < got[2]["n_removed"] < 151 and got[2]["kept_text"].startswith("new line")
     assert got[3]["n_removed"] == got[4]["n_removed"] == got[5]["n_removed"] == 0
 
 
+def test_nothing_is_left_of_an_exact_copy(spark):
+    texts = ["\n".join(f"t{i} line {k}" for k in range(i)) for i in range(2, 40)]
+    docs = spark.createDataFrame([(10 * n + c, t) for n, t in enumerate(texts) for c in (1, 2)], "doc_id long, text string")
+    for r in line_dedup.line_dedup(docs).collect():
+        assert r["kept_text"] == (texts[r["doc_id"] // 10] if r["doc_id"] % 10 == 1 else "")
+
+
+def test_many_chunks_go(spark):
+    text = "\n".join(f"line {i} {hashlib.md5(str(i).encode()).hexdigest()}" for i in range(100_000))
+    docs = spark.createDataFrame([(5, text), (6, text + "\nmore")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
+    assert got[5]["n_chunks"] > 15_000 and got[5]["kept_text"] == text
+    assert 99_970 < got[6]["n_removed"] <= 100_000 and got[6]["kept_text"].endswith("\nmore")
+
+
+def test_any_id(spark, as_table):
+    texts = [((1 << 63) - 1, "a\nb"), (-(1 << 63), "a\nb"), (None, "a\nb"), (None, "c\nd"), ((1 << 63) - 1, "c\nd")]
+    d = as_table(spark.createDataFrame(texts, "doc_id long, text string"))
+    same(catalog.queries()["op3_line_dedup"](spark, d), catalog.oracle_sql()["op3_line_dedup"], d)
+
+
 def brute_chunks(text):
-    lines, out, run, before = text.split("\n"), [], [], 0
-    for i, line in enumerate(lines):
+    lines, out, run, before, marks = text.split("\n"), [], [], 0, []
+    for line in lines:
         code = int(hashlib.md5(line.encode()).hexdigest()[:7], 16)
+        marks.append((before * 1_000_003 + code) % 2_147_483_647 % 3 == 0)
+        before = code
+    for i, line in enumerate(lines):
         run.append(line)
-        if (before * 1_000_003 + code) % 2_147_483_647 % 4 == 0 or i == len(lines) - 1:
+        if i == len(lines) - 1 or 0 < i < len(lines) - 2 and marks[i] and (i == 1 or not marks[i - 1]):
             out.append(run)
             run = []
-        before = code
     return out
 
 
