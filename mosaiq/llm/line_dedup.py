@@ -63,10 +63,10 @@ def _without(c: Column, gone: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, keep: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_chunks, n_removed (lines), kept_text; with keep also `row`, a struct of the
-    other columns of docs."""
+    """One row per document: doc_id, n_lines, n_chunks, n_removed (lines), kept_text; with keep also `row`, a struct of
+    all columns of docs but the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    others = [F.struct(F.lit(0).alias(""), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col))).alias("row")] if keep else []
+    others = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row")] if keep else []
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("name"), *others)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("id"), F.col("name"), F.col("k"))
     parts = rows.select("doc_id", "name", F.posexplode(chunks(F.col("text"), chunk)).alias("k", "c")).where("c.lines > 1")

@@ -62,9 +62,11 @@ def test_op4_against_brute(spark, which, odd_docs, no_docs, as_table):
     assert sorted((tuple(r) for r in catalog.queries()["op4_simhash"](spark, d).collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("many", [1, 10**9])
-def test_links_of_many_close_fingerprints(spark, many, monkeypatch):
+@pytest.mark.parametrize(("many", "long"), [(1, 4096), (10**9, 4096), (10**9, 7)])
+def test_links_of_many_close_fingerprints(spark, many, long, monkeypatch):
     monkeypatch.setattr(simhash, "MANY", many)
+    monkeypatch.setattr(simhash, "LIST", long)
+    monkeypatch.setattr(simhash, "SHORT", min(16, long))
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
     fps = set(base.tolist())
@@ -80,7 +82,9 @@ def test_links_of_many_close_fingerprints(spark, many, monkeypatch):
     assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_groups(docs).collect()) == list(enumerate(tops))
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hot", [3, 200])
+def test_components_of_chains_and_stars(spark, hot, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", hot)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 500)] + [(5000, 5000), (7001, 7000)]
     got = {r["u"]: r["v"] for r in shared.components(spark.createDataFrame(links, "u long, v long").repartition(8)).collect()}
     assert got == {**{i: 0 for i in range(1, 301)}, **{1000 + i: 1000 for i in range(1, 500)}, 7001: 7000}
