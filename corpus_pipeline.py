@@ -9,57 +9,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, near_copies
-from mosaiq.llm.shared import written
+from mosaiq.llm import byte_bpe, language_id, line_dedup, mixing, simhash
+from mosaiq.llm.shared import discard, written
 
-
-#: A document of which less than this share of characters is left after line deduplication, each line of it being in a document
-#: that stays, is a copy's remnant, and goes.
-LEAST_LEFT = 0.3
-#: Words to a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: Words to a shingle of the near-duplicate stage, and the least overlap of two sets of them.
+SHINGLE, SIMILAR = 5, (4, 5)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects (no letters, or far from every language) go."""
-    found = language_id.predict_documents(docs, language_id.fit_documents(docs), keep=("text", *(c for c in docs.columns if c not in ("doc_id", "text"))))
-    return found.where("not rejected").select(*docs.columns)
+    found = language_id.predict_documents(docs, language_id.fit_documents(docs), keep=True)
+    return found.where("not rejected").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, and documents of which nothing but blanks is left. Of those of which little is left, the ones
-    go whose every line is also in a document of which more is left (what isn't in a chunk of two lines stays of a copy, and
-    would no longer be found as one); a line found nowhere else, or a chunk removed elsewhere for this one, keeps its document."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    sized = docs.withColumn("length_before", F.length("text"))
-    found = line_dedup.line_dedup(sized, keep=(*others, "length_before"))
-    little = (F.col("n_removed") > 0) & (F.length("kept_text") < F.col("length_before") * LEAST_LEFT)
-    cut = written(found.where((F.col("n_removed") == 0) | F.col("kept_text").rlike("\\S")).withColumn("__little", F.coalesce(little, F.lit(False))), "cut")
-    name = F.sha2("kept_text", 256).alias("__name")
-    lines = F.explode(F.array_distinct(F.filter(F.split("kept_text", "\n", -1), lambda x: x.rlike("\\S"))))
-    digests = lambda part: part.select(name, lines.alias("line")).select("__name", F.unhex(F.sha2("line", 256)).alias("line"))
-    known = digests(cut.where("not __little")).select("line").distinct()
-    own = digests(cut.where("__little")).join(known.hint("merge"), "line", "left_anti").select("__name").distinct()
-    held = cut.where("__little").withColumn("__name", name).join(own.hint("merge"), "__name", "left_semi")
-    left = cut.where("not __little").unionByName(held.select(*cut.columns))
-    return left.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Repeated chunks of lines go, and documents of which they leave nothing but blanks; n_chars is counted anew."""
+    found = line_dedup.line_dedup(docs, keep=True).where((F.col("n_removed") == 0) | F.col("kept_text").rlike("\\S"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*(own.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (sets of five-word shingles that overlap by 0.8 or more) the document of smallest id stays;
     rows of one id count as one, rows without id stay."""
-    keep = near_copies.near_copies(docs, words=SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    named = named.withColumn("nth_row", F.row_number().over(first)).where("nth_row = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keep = simhash.near_texts(docs, SHINGLE, SIMILAR).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select("doc_id", F.struct("*").alias("row"))
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"), F.xxhash64("row"))
+    named = rows.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi").withColumn("nth", F.row_number().over(first))
+    return named.where("nth = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the one that a source takes in part counts from half its words on."""
-    repeats = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
-    taken = mixing.mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(repeats).alias("times")).where("times > 0")
-    return docs.join(taken.hint("merge"), "doc_id").withColumn("nth_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    """Each document as often as the mix takes it; the one that a source takes in part counts from half its words on. Documents
+    are told apart by id and text, so those without an id count too."""
+    times = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5).cast("int")
+    taken = mixing.mix(docs, with_name=True).groupBy("doc_id", "name").agg(F.max(times).alias("times")).where("times > 0")
+    taken = taken.select(F.col("doc_id").alias("taken_id"), F.col("name").alias("taken_name"), "times")
+    rows = docs.select("doc_id", mixing.text_name(F.col("text")).alias("name"), F.struct("*").alias("row"))
+    both = rows.join(taken.hint("merge"), (F.col("name") == F.col("taken_name")) & F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return both.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row")).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,8 +68,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written and read again."""
+    """The stages over documents, each written and read again; what a stage has read goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
