@@ -4,10 +4,15 @@ Pieces (matches of the split pattern) that are tokens themselves get their id. T
 matrices of equal length: one row a piece, one column a part. In each round every row merges its leftmost pair of
 minimum rank; pair ranks come from an open-addressing hash table held in numpy arrays, and only the two pairs beside the
 merge are looked up again. Rows lose one column a round, so the matrix stays rectangular; rows without a mergeable
-pair leave it. Pieces of more than LONG bytes are merged with a heap, by the same rule.
+pair leave it. A row of n bytes takes up to n rounds of n columns: pieces of more than LONG bytes, which words are not, are
+merged with a heap by the same rule instead, in n log n (the README has the figures).
 
 Text between single spaces is encoded once and kept, where the spaces around it are single and so cannot be part of
-a longer match. Null text is empty and has no ids. Nothing is truncated.
+a longer match; what is longer than KEPT characters is dropped after its batch, so the maps hold MOST short strings at most.
+
+Null text is empty and has no ids. Nothing is truncated. Rows are encoded singly: repeated rows and ids get the same result
+each, a null id is carried along; a tie of ranks goes to the leftmost pair. Empty tables give no rows; columns not named in keep
+are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ LONG = 512
 NONE = np.int64(1 << 40)
 #: Unicode's White_Space, as the Rust library reads \s; Python's also has the separators 1C-1F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_MOST = 200_000
+MOST, KEPT = 200_000, 64
 
 
 class PairTable:
@@ -165,6 +170,9 @@ class ByteBpe:
             self.pieces[p] = ids
         for c, ps in zip(chunks, split, strict=True):
             self.chunks[c] = b"".join(map(self.pieces.__getitem__, ps))
+        for p in missing:
+            if len(p) > KEPT:
+                del self.pieces[p]
 
     def _chunks(self, text: str) -> list[str]:
         if not text:
@@ -176,7 +184,7 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.pieces) > _MOST or len(self.chunks) > _MOST:
+        if len(self.pieces) > MOST or len(self.chunks) > MOST:
             self.pieces.clear()
             self.chunks.clear()
         parts = [self._chunks(t) if t else [] for t in texts]
@@ -189,6 +197,7 @@ class ByteBpe:
                     if c not in self.chunks:
                         missing[c] = None
         self._learn(list(missing))
+        # pieces of whole texts, long ones too, are there until the batch is done
         loose = list(dict.fromkeys(p for chunks, w in zip(parts, whole, strict=True) if w for p in chunks if p not in self.pieces))
         raws = [p.encode("utf-8") for p in loose]
         todo = [i for i, r in enumerate(raws) if r not in self.ranks]
@@ -197,7 +206,12 @@ class ByteBpe:
                 self.pieces[loose[i]] = np.array([self.ranks[r]], "<u4").tobytes()
         for i, ids in zip(todo, self.merge([raws[i] for i in todo]), strict=True):
             self.pieces[loose[i]] = ids
-        return [np.frombuffer(b"".join(map((self.pieces if w else self.chunks).__getitem__, chunks)), "<u4") for chunks, w in zip(parts, whole, strict=True)]
+        out = [np.frombuffer(b"".join(map((self.pieces if w else self.chunks).__getitem__, chunks)), "<u4") for chunks, w in zip(parts, whole, strict=True)]
+        for x in (*missing, *loose):
+            if len(x) > KEPT:
+                self.chunks.pop(x, None)
+                self.pieces.pop(x, None)
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

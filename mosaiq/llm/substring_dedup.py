@@ -13,7 +13,9 @@ hashes of their words, and those that occur twice are removed.
 Counting moves packed arrays, not rows: each task sends a hash once for a block of its documents, to the bucket that
 the hash names. What repeats within the block is known at once and isn't sent to the bucket, so neither copies nor a
 passage in a third of all documents meet in one task. Answers are positions by text: a text is named by 96 bits of its
-SHA-256, so copies share theirs, and the two joins back to texts split hot names.
+SHA-256, so copies share theirs, and the two joins back to texts split hot names. Where there are more than WIDE buckets,
+a block's hashes go to groups of buckets first, whose tasks gather them into blocks again and cut those by
+bucket: a packed array then has BLOCK / WIDE hashes or so at any size.
 
 Null and empty texts have 0 words and the digest of nothing. Ids are carried along only: null and repeated ids are
 fine. Empty tables give no rows.
@@ -38,6 +40,8 @@ from mosaiq.llm.shared import discard, written
 WINDOW, PERIOD = 35, 21
 #: Hashes that a task holds before it sends them; characters of text to a bucket.
 BLOCK_ANCHORS, BLOCK_WINDOWS, BUCKET_CHARS = 2_000_000, 1_000_000, 24_000_000
+#: Buckets that a block is cut into at one time.
+WIDE = 4096
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _NAME = 12
 _HEAD = struct.Struct("<IIII")
@@ -149,6 +153,10 @@ def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarra
     return names, np.repeat(np.arange(used), counts), np.cumsum(steps.astype(np.int64)), hashes
 
 
+def _size(blob: bytes) -> int:
+    return _HEAD.unpack_from(blob)[1]
+
+
 def _groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that brings equal hashes together, size of the group of each in that order)."""
     order = np.lexsort(hashes.T[::-1]) if hashes.shape[1] > 1 else np.argsort(hashes[:, 0], kind="stable")
@@ -177,35 +185,40 @@ def _answers(names: list[bytes], doc: np.ndarray, pos: np.ndarray):
         yield distinct[text[s]], pos[s:e].tobytes()
 
 
-def _count(extract, block: int, buckets: int):
-    """Map side: packed hashes of blocks of documents by bucket; answers that the block itself gives have bucket -1."""
-    schema = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("blob", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("name", pa.binary()), ("blob", pa.binary())])
+
+
+def _cut(names: list[bytes], doc: np.ndarray, pos: np.ndarray, hashes: np.ndarray, buckets: int, each: int):
+    """Packed hashes of a block by bucket (each following buckets together); answers that the block itself gives have bucket -1."""
+    order, sizes, new = _groups(hashes)
+    many = order[sizes > 1]
+    rows = [(-1, name, at) for name, at in _answers(names, doc[many], pos[many])] if len(many) else []
+    once = np.sort(order[new])
+    bucket = (hashes[once, 0] % np.uint64(buckets)).astype(np.int64) // each
+    once = once[np.argsort(bucket, kind="stable")]
+    bucket = np.sort(bucket)
+    cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    for s, e in zip(cuts, np.append(cuts[1:], len(once)), strict=True):
+        own = once[s:e]
+        rows.append((int(bucket[s]), None, _pack(names, doc[own], pos[own], hashes[own])))
+    for i in range(0, len(rows), 4096):
+        part = rows[i : i + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(_SENT)], schema=_SENT)
+
+
+def _count(extract, block: int, buckets: int, each: int):
+    """Map side: the hashes of blocks of documents."""
 
     def run(batches):
         names, held, size = [], [], 0
 
         def flush():
             nonlocal names, held, size
-            rows = []
             if size:
                 doc = np.repeat(np.arange(len(held)), [len(p) for p, _ in held])
                 pos, hashes = np.concatenate([p for p, _ in held]), np.concatenate([h for _, h in held])
-                order, sizes, new = _groups(hashes)
-                many = order[sizes > 1]
-                if len(many):
-                    rows += [(-1, name, at) for name, at in _answers(names, doc[many], pos[many])]
-                once = np.sort(order[new])
-                bucket = (hashes[once, 0] % np.uint64(buckets)).astype(np.int64)
-                once = once[np.argsort(bucket, kind="stable")]
-                bucket = np.sort(bucket)
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                for s, e in zip(cuts, np.append(cuts[1:], len(once)), strict=True):
-                    own = once[s:e]
-                    rows.append((int(bucket[s]), None, _pack(names, doc[own], pos[own], hashes[own])))
+                yield from _cut(names, doc, pos, hashes, buckets, each)
             names, held, size = [], [], 0
-            for i in range(0, len(rows), 4096):
-                part = rows[i : i + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], f.type) for k, f in enumerate(schema)], schema=schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -221,6 +234,30 @@ def _count(extract, block: int, buckets: int):
     return run
 
 
+def _recount(block: int, buckets: int):
+    """Blocks of a group of buckets, from rows (bucket, blob) sorted by group, cut by bucket."""
+
+    def run(batches):
+        now, held, size = None, [], 0
+
+        def flush():
+            nonlocal held, size
+            if held:
+                yield from _cut(*_gathered(held), buckets, 1)
+            held, size = [], 0
+
+        for batch in batches:
+            for group, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group != now or size >= block:
+                    yield from flush()
+                now = group
+                held.append(blob)
+                size += _size(blob)
+        yield from flush()
+
+    return run
+
+
 def _gathered(blobs: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     names, doc, pos, hashes = [], [], [], []
     for blob in blobs:
@@ -258,8 +295,15 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def repeats(texts: DataFrame, extract, block: int, buckets: int) -> DataFrame:
     """(name, at): positions by text whose hashes occur more than once over all rows of texts (name, ...)."""
-    sent = texts.mapInArrow(_count(extract, block, buckets), "bucket int, name binary, blob binary")
-    sent = written(sent, "hashes")
+    kind = "bucket int, name binary, blob binary"
+    each = 1 if buckets <= WIDE else -(-buckets // WIDE)
+    sent = written(texts.mapInArrow(_count(extract, block, buckets, each), kind), "hashes")
+    if each > 1:
+        coarse, parts = sent, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = coarse.where("bucket >= 0").select("bucket", "blob").repartition(parts, "bucket").sortWithinPartitions("bucket")
+        fine = dealt.mapInArrow(_recount(block, buckets), kind)
+        sent = written(coarse.where("bucket < 0").unionByName(fine), "hashes")
+        discard(coarse)
     there = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(_resolve(buckets), "part int, blob binary")
     there = there.groupBy("part").applyInPandas(_merge, "name binary, blob binary")
     found = written(sent.where("bucket < 0").select("name", "blob").unionByName(there), "answers")

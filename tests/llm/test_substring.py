@@ -38,7 +38,9 @@ def test_op1_against_brute(spark, which, odd_docs, no_docs, as_table):
     assert sorted((tuple(r) for r in catalog.queries()["op1_substring_dedup"](spark, d).collect()), key=repr) == brute(rows)
 
 
-def test_planted_at_all_shifts(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [4096, 2])
+def test_planted_at_all_shifts(spark, monkeypatch, wide):
+    monkeypatch.setattr(substring_dedup, "WIDE", wide)
     monkeypatch.setattr(substring_dedup, "BLOCK_ANCHORS", 50)
     monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", 40)
     rng = np.random.default_rng(5)
