@@ -116,7 +116,9 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     centres = x[chosen]
     for _ in range(ROUNDS):
         own = (x @ centres.T).argmax(1)
-        centres = np.stack([x[own == i].mean(0) if (own == i).any() else centres[i] for i in range(len(centres))])
+        members = (own[None, :] == np.arange(len(centres))[:, None]).astype(np.float32)
+        size = members.sum(1, keepdims=True)
+        centres = np.where(size > 0, members @ x / np.maximum(size, 1), centres)
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres
 
@@ -125,10 +127,9 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     """A model of labelled texts; those without letters are left out."""
     rows = [(t, lang) for t, lang in zip(texts, labels, strict=True) if t and lang is not None and has_letter(t)]
     languages = tuple(sorted({lang for _, lang in rows}))
-    vectors = [features(t) for t, _ in rows]
     seen = np.zeros(1 << BITS)
-    for at, _ in vectors:
-        seen[at] += 1
+    for t, _ in rows:
+        seen[features(t)[0]] += 1
     model = Model(languages, np.log((1 + len(rows)) / (1 + seen)) + 1, np.zeros((1 << BITS, 0), np.float32), np.zeros(0, int), np.zeros((0, DOUBLINGS)))
     centres, owner = [], []
     for k, lang in enumerate(languages):

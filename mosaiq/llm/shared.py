@@ -81,10 +81,10 @@ def _stars(edges: DataFrame, large: bool, hot: int) -> DataFrame:
     """One large-star or small-star step over edges (u > v)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-    many, few = least.where(F.col("n") > hot).select("u", "m"), least.where(F.col("n") <= hot).select("u", "m")
-    # the edges of a centre stay where they are; the table of centres is small by its definition
-    marked = both.join(F.broadcast(many), "u", "left")
-    moved = marked.where("m is not null").unionByName(marked.where("m is null").drop("m").join(few.hint("merge"), "u"))
+    many, few = least.where(F.col("n") > hot).select("u", "m"), least.where(F.col("n") <= hot)
+    # the edges of a centre are dealt by their other end; the table of centres is small by its definition
+    marked = both.join(F.broadcast(many), "u", "left").withColumn("at", F.when(F.col("m").isNull(), F.col("u")).otherwise(F.col("v")))
+    moved = marked.join(few.select(F.col("u").alias("at"), F.col("m").alias("own")).hint("merge"), "at", "left").select("u", "v", F.coalesce("m", "own").alias("m"))
     if large:
         return moved.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     kept = moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
