@@ -8,7 +8,7 @@ from collections.abc import Callable
 from mosaiq.codecs import jpeg, paletted, png, simple
 from mosaiq.codecs.base import DecodeError, Grid, check_size
 from mosaiq.codecs.resample import resize
-from mosaiq.operators.detect import DELIMITERS, OLE2, SIGNATURES, ZIP
+from mosaiq.operators.detect import DELIMITERS, OLE2, SIGNATURES, ZIP, ole_entry
 from mosaiq.operators.limits import DEFAULT_FIT, DEFAULT_HEIGHT, DEFAULT_WIDTH, MAX_INPUT_BYTES
 
 Decoder = Callable[[bytes, tuple[int, int] | None], Grid]
@@ -62,7 +62,7 @@ def sniff(data: bytes) -> str | None:
             return "docx"
     if at(0, OLE2):
         for kind, name in (("ppt", "PowerPoint Document"), ("doc", "WordDocument")):
-            if name.encode("utf-16-le") in data:
+            if ole_entry(name) in data:
                 return kind
         return "xls"
     if signed("pdf"):

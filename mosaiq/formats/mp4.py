@@ -110,7 +110,7 @@ def target_sample(t: Track, share: float = SHARE) -> int:
 
 
 def sync_sample(t: Track, target: int) -> int:
-    if t.stss is None:
+    if not t.stss:
         return target
     found = 1
     for s in t.stss:

@@ -134,17 +134,25 @@ def to_points(text: Column) -> Column:
 def wrap(words: Column, width: Column, space: Column) -> Column:
     """Greedy lines of an array of words whose widths are their lengths: a word that doesn't fit starts a line, however long it is.
 
-    Result: array<struct<line, word>>; an ordered fold, since each break depends on those before it.
+    Result: array<array<string>>, the words of each line. An ordered fold, since each break depends on those before it;
+    it keeps the places where lines start only, and the lines are cut from the words once.
     """
-    start = F.struct(F.array().cast("array<struct<line:int,word:string>>").alias("out"), F.lit(0).alias("line"), F.lit(0).alias("used"))
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("used"))
 
     def put(state: Column, word: Column) -> Column:
-        fits = (state["used"] == 0) | (state["used"] + space + F.length(word) <= width)
-        line = F.when(fits, state["line"]).otherwise(state["line"] + 1)
-        used = F.when(fits & (state["used"] > 0), state["used"] + space + F.length(word)).otherwise(F.length(word))
-        return F.struct(F.array_append(state["out"], F.struct(line.alias("line"), word.alias("word"))).alias("out"), line.alias("line"), used.cast("int").alias("used"))
-
-    return F.aggregate(words, start, put, lambda s: s["out"])
+        more = state["used"] + space + F.length(word)
+        fits = (state["at"] > 0) & ((state["used"] == 0) | (more <= width))
+        used = F.when(fits & (state["used"] > 0), more).otherwise(F.length(word))
+        starts = F.when(fits, state["starts"]).otherwise(F.array_append(state["starts"], state["at"]))
+        return F.struct(starts.alias("starts"), (state["at"] + 1).alias("at"), used.cast("int").alias("used"))
+
+    def cut(starts: Column) -> Column:
+        end = lambda j: F.when(j + 1 < F.size(starts), F.get(starts, j + 1)).otherwise(F.size(words))
+        return F.transform(starts, lambda s, j: F.slice(words, s + 1, end(j) - s))
+
+    found = F.aggregate(words, start, put, lambda s: s["starts"])
+    return F.element_at(F.transform(F.array(found), cut), 1)
 
 
 def base64_line(content: Column) -> Column:

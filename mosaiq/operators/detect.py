@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,9 +102,15 @@ def is_tga(content: Column) -> Column:
     return (F.length(content) >= 16) & byte(content, 1).isin(0, 1) & byte(content, 2).isin(1, 2, 3, 9, 10, 11) & sized
 
 
+def ole_entry(stream: str) -> bytes:
+    name = stream.encode("utf-16-le")
+    return name.ljust(64, b"\0") + struct.pack("<HB", len(name) + 2, 2)
+
+
 def _ole(content: Column, stream: str) -> Column:
-    """An OLE2 file with a directory entry of that name: entries are UTF-16 at multiples of 128 bytes, never elsewhere in practice."""
-    return at(content, 0, OLE2) & F.contains(content, _hex(stream.encode("utf-16-le").hex()))
+    """An OLE2 file with a directory entry of that name: UTF-16 filled up to 64 bytes, its length with the end mark, and the type
+    of a stream. A cell or paragraph that holds the name has other bytes after it."""
+    return at(content, 0, OLE2) & F.contains(content, _hex(ole_entry(stream).hex()))
 
 
 def detect_type(content: Column, strict: bool = False) -> Column:

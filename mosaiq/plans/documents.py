@@ -113,16 +113,17 @@ def doc_fc_to_cp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "doc_char_props",
     """
-WITH c AS (SELECT doc_id, i.range * 40 AS cp FROM documents, range(20) i), r AS (SELECT doc_id, k.range AS seq, (k.range * 97 + doc_id) % 700 AS s, (k.range * 97 + doc_id) % 700 + 60 + k.range * 11 AS e, k.range % 2 = 0 AS bold FROM documents, range(6) k)
+WITH c AS (SELECT doc_id, unnest(range(0, coalesce(length(text), 0) + 1, 40)) AS cp FROM documents), k AS (SELECT doc_id, unnest(range(0, coalesce(length(text), 0) // 97 + 1)) AS seq FROM documents),
+r AS (SELECT doc_id, seq, seq * 97 + doc_id % 50 AS s, seq * 97 + doc_id % 50 + 40 + seq % 9 * 11 AS e, seq % 2 = 0 AS bold FROM k)
 SELECT c.doc_id, cp::INT AS cp, arg_min(seq, seq)::INT AS seq, coalesce(arg_min(bold, seq), false) AS bold FROM c LEFT JOIN r ON r.doc_id = c.doc_id AND cp >= s AND cp < e GROUP BY c.doc_id, cp
 """,
 )
 def doc_char_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    points = docs.withColumn("cp", F.explode(F.sequence(F.lit(0), F.lit(760), F.lit(40))))
-    props = docs.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    s = (F.col("seq") * 97 + F.col("doc_id")) % 700
-    props = props.select("doc_id", "seq", s.alias("s"), (s + 60 + F.col("seq") * 11).alias("e"), (F.col("seq") % 2 == 0).alias("bold"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    points = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n"), F.lit(40))).alias("cp"))
+    props = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 97).cast("int"))).alias("seq"))
+    s = F.col("seq") * 97 + F.col("doc_id") % 50
+    props = props.select("doc_id", "seq", s.alias("s"), (s + 40 + F.col("seq") % 9 * 11).alias("e"), (F.col("seq") % 2 == 0).alias("bold"))
     found = intervals.interval_join(points, props, ["doc_id"], "cp", "s", "e", "seq", bucket=128)
     return found.select("doc_id", "cp", "seq", F.coalesce("bold", F.lit(False)).alias("bold"))
 
@@ -130,14 +131,14 @@ def doc_char_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "doc_runs",
     """
-WITH t AS (SELECT conv_id, turn, (turn // 2 + conv_id) % 3 = 0 AS bold, left(text, 12) AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, (turn // 2 + conv_id) % 3 = 0 AS bold, text FROM conversations),
 l AS (SELECT *, CASE WHEN lag(bold) OVER w IS NOT DISTINCT FROM bold AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM l)
 SELECT conv_id, run::BIGINT AS run, bold, string_agg(text, '' ORDER BY turn) AS text, count(*) AS n, min(turn) AS start FROM r GROUP BY conv_id, run, bold
 """,
 )
 def doc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.floor(F.col("turn") / 2) + F.col("conv_id")) % 3 == 0).alias("bold"), F.substring("text", 1, 12).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.floor(F.col("turn") / 2) + F.col("conv_id")) % 3 == 0).alias("bold"), "text")
     return intervals.runs(rows, ["conv_id"], "turn", ["bold"], "text")
 
 
@@ -158,14 +159,16 @@ def para_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS f FROM documents), u AS (SELECT doc_id, generate_subscripts(f, 1) - 1 AS line, length(unnest(f)) AS n FROM p),
 l AS (SELECT doc_id, line, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, n FROM u),
-r AS (SELECT doc_id, k.range AS run, (doc_id % 50 + 30) * k.range AS s, (doc_id % 50 + 30) * (k.range + 1) AS e FROM documents, range(10) k)
+k AS (SELECT doc_id, unnest(range(greatest(1, (length(text) + doc_id % 50 + 29) // (doc_id % 50 + 30)))) AS run FROM documents),
+r AS (SELECT doc_id, run, (doc_id % 50 + 30) * run AS s, (doc_id % 50 + 30) * (run + 1) AS e FROM k)
 SELECT l.doc_id, line::INT AS line, run::INT AS run, greatest(l.s, r.s)::BIGINT AS "from", least(l.s + n, r.e)::BIGINT AS "to" FROM l JOIN r ON l.doc_id = r.doc_id AND greatest(l.s, r.s) < least(l.s + n, r.e)
 """,
 )
 def run_line_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = para_split(spark, sf_dir).select("doc_id", F.col("para").alias("line"), F.col("start").alias("l_start"), (F.col("start") + F.col("length")).alias("l_end"))
-    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("run"))
     n = F.col("doc_id") % 50 + 30
+    last = F.greatest(F.ceil(F.length("text") / n), F.lit(1)).cast("int") - 1
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), last)).alias("run"))
     runs = runs.select("doc_id", "run", (n * F.col("run")).alias("r_start"), (n * (F.col("run") + 1)).alias("r_end"))
     return intervals.overlaps(lines, runs, ["doc_id"]).select("doc_id", "line", "run", "from", "to")
 
@@ -270,9 +273,8 @@ SELECT page_id, line::INT AS line, count(*) AS words, string_agg(words[i], ' ' O
 )
 def greedy_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract_all("html", F.lit("[a-z]+"), F.lit(0)).alias("words"))
-    lines = words.select("page_id", F.posexplode(text.wrap(F.col("words"), F.lit(40), F.lit(1))).alias("i", "x"))
-    parts = F.array_sort(F.collect_list(F.struct("i", "x.word")))
-    return lines.groupBy("page_id", F.col("x.line").alias("line")).agg(F.count(F.lit(1)).alias("words"), F.array_join(F.transform(parts, lambda p: p["word"]), " ").alias("text"))
+    lines = words.select("page_id", F.posexplode(text.wrap(F.col("words"), F.lit(40), F.lit(1))).alias("line", "x"))
+    return lines.select("page_id", "line", F.size("x").cast("long").alias("words"), F.array_join("x", " ").alias("text"))
 
 
 @query(

@@ -250,13 +250,13 @@ def text_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "rows_full_outer",
     """
-WITH c AS (SELECT l_orderkey AS row, count(*) AS cells FROM lineitem WHERE l_partkey % 3 = 0 GROUP BY 1), i AS (SELECT o_orderkey AS row, o_totalprice AS height FROM orders WHERE o_orderkey % 2 = 0)
+WITH c AS (SELECT l_orderkey * 3 + l_partkey % 3 AS row, count(*) AS cells FROM lineitem GROUP BY 1), i AS (SELECT o_orderkey * 3 + o_custkey % 3 AS row, o_totalprice AS height FROM orders)
 SELECT coalesce(c.row, i.row) AS row, coalesce(cells, 0) AS cells, coalesce(height, 15.0) AS height FROM c FULL OUTER JOIN i ON c.row = i.row
 """,
 )
 def rows_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").where("l_partkey % 3 = 0").groupBy(F.col("l_orderkey").alias("row")).agg(F.count(F.lit(1)).alias("cells"))
-    info = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("row"), F.col("o_totalprice").alias("height"))
+    cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") * 3 + F.col("l_partkey") % 3).alias("row")).agg(F.count(F.lit(1)).alias("cells"))
+    info = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 3 + F.col("o_custkey") % 3).alias("row"), F.col("o_totalprice").alias("height"))
     return cells.join(info, "row", "full_outer").select("row", F.coalesce("cells", F.lit(0)).alias("cells"), F.coalesce("height", F.lit(15.0)).alias("height"))
 
 

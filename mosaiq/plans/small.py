@@ -14,9 +14,9 @@ from mosaiq.session import table
 @query(
     "matrix_compose",
     """
-WITH RECURSIVE l AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, 1 + o_orderkey % 3 * 0.25::DOUBLE AS a, (o_orderkey % 5 - 2) * 0.125::DOUBLE AS b, (o_orderkey % 7 - 3)::DOUBLE AS e, (o_orderkey % 11 - 5)::DOUBLE AS f FROM orders),
+WITH RECURSIVE l AS (SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, 1 + o_orderkey % 3 * 0.0625::DOUBLE AS a, (o_orderkey % 5 - 2) * 0.03125::DOUBLE AS b, (o_orderkey % 7 - 3)::DOUBLE AS e, (o_orderkey % 11 - 5)::DOUBLE AS f FROM orders),
 m AS (SELECT DISTINCT id, 0::BIGINT AS k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS c, 1.0::DOUBLE AS d, 0.0::DOUBLE AS e, 0.0::DOUBLE AS f FROM l
-  UNION ALL SELECT m.id, l.k, m.a * l.a + m.b * -l.b, m.a * l.b + m.b * l.a, m.c * l.a + m.d * -l.b, m.c * l.b + m.d * l.a, m.e * l.a + m.f * -l.b + l.e, m.e * l.b + m.f * l.a + l.f FROM m JOIN l ON l.id = m.id AND l.k = m.k + 1 WHERE l.k <= 6),
+  UNION ALL SELECT m.id, l.k, m.a * l.a + m.b * -l.b, m.a * l.b + m.b * l.a, m.c * l.a + m.d * -l.b, m.c * l.b + m.d * l.a, m.e * l.a + m.f * -l.b + l.e, m.e * l.b + m.f * l.a + l.f FROM m JOIN l ON l.id = m.id AND l.k = m.k + 1),
 z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)
 SELECT id, floor(least(e, e + a * 10, e + c * 5, e + a * 10 + c * 5) * 1e6 + 0.5) / 1e6 AS x0, floor(least(f, f + b * 10, f + d * 5, f + b * 10 + d * 5) * 1e6 + 0.5) / 1e6 AS y0,
   floor(greatest(e, e + a * 10, e + c * 5, e + a * 10 + c * 5) * 1e6 + 0.5) / 1e6 AS x1, floor(greatest(f, f + b * 10, f + d * 5, f + b * 10 + d * 5) * 1e6 + 0.5) / 1e6 AS y1 FROM z
@@ -25,8 +25,8 @@ SELECT id, floor(least(e, e + a * 10, e + c * 5, e + a * 10 + c * 5) * 1e6 + 0.5
 def matrix_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    a, b = 1 + k % 3 * 0.25, (k % 5 - 2) * 0.125
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), nth.alias("n"), F.array(a, b, -b, a, (k % 7 - 3).cast("double"), (k % 11 - 5).cast("double")).alias("m")).where("n <= 6")
+    a, b = 1 + k % 3 * 0.0625, (k % 5 - 2) * 0.03125
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), nth.alias("n"), F.array(a, b, -b, a, (k % 7 - 3).cast("double"), (k % 11 - 5).cast("double")).alias("m"))
     per = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("ms"))
     box = geometry.bounds(geometry.composed(F.transform("ms", lambda x: x["m"])), F.lit(10), F.lit(5))
     return per.select("id", box.alias("b")).select("id", *(round6(F.col("b." + c)).alias(c) for c in ("x0", "y0", "x1", "y1")))

@@ -9,7 +9,7 @@ from mosaiq.codecs import png, registry
 from mosaiq.codecs.base import DecodeError, Grid
 from mosaiq.formats import csv
 from mosaiq.operators import thumbnails
-from mosaiq.operators.detect import detect_type
+from mosaiq.operators.detect import detect_type, ole_entry
 from mosaiq.sources import files
 from mosaiq.vector.canvas import Canvas
 from mosaiq.vector.paths import Path, arc
@@ -21,7 +21,7 @@ SAMPLES = {
     "ani": b"RIFF....ACON", "webp": b"RIFF....WEBP", "tiff": b"MM\0*....", "psd": b"8BPS....", "dds": b"DDS ....", "gif": b"GIF89a....", "jpeg": b"\xff\xd8\xff\xe0", "ico": b"\0\0\1\0..",
     "pptx": b"PK\3\4" + b"\0" * 26 + b"ppt/slides", "xlsx": b"PK\3\4" + b"\0" * 26 + b"[Content]xl/workbook", "docx": b"PK\3\4" + b"\0" * 26 + b"word/document.xml",
     "odt": b"PK\3\4" + b"\0" * 26 + b"mimetypeapplication/vnd.oasis.opendocument.text" + b"\0" * 9, "xls": bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 99,
-    "doc": bytes.fromhex("D0CF11E0A1B11AE1") + "WordDocument".encode("utf-16-le"), "ppt": bytes.fromhex("D0CF11E0A1B11AE1") + "PowerPoint Document".encode("utf-16-le"), "pbm": b"P4 ..", "pgm": b"P2 ..",
+    "doc": bytes.fromhex("D0CF11E0A1B11AE1") + ole_entry("WordDocument"), "ppt": bytes.fromhex("D0CF11E0A1B11AE1") + ole_entry("PowerPoint Document"), "pbm": b"P4 ..", "pgm": b"P2 ..",
 }
 
 
@@ -140,3 +140,9 @@ def test_curves_and_images():
     c = Canvas(10, 10)
     c.image_in(g, (4, 0, 0, -4, 2, 6))
     assert (c.px[2, 2] == g.rgba[0, 0]).all() and (c.px[5, 5] == g.rgba[1, 1]).all()
+
+
+def test_ole_text_is_no_directory_entry(spark):
+    data = bytes.fromhex("D0CF11E0A1B11AE1") + b"\0" * 64 + "a cell that says WordDocument, or PowerPoint Document".encode("utf-16-le") + b"\0" * 80
+    assert registry.sniff(data) == "xls"
+    assert spark.createDataFrame([(bytearray(data),)], "content binary").select(detect_type(F.col("content")).alias("t")).first()["t"] == "xls"
