@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.llm import shared
 from mosaiq.llm.shared import written
 
 SEED, BLOCK = 42, 1 << 20
@@ -91,9 +92,15 @@ def overlap_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, words:
     both = groups.unionByName(groups.select(F.col("v").alias("u"), "v").distinct()).select(F.col("u").alias("node"), F.col("v").alias("group"))
     members = written(classes.join(both.hint("merge"), "node"), "members")
     texts = written(rows.join(members.hint("merge"), ["node", "name"]).select("group", "node", "name", "text"), "candidates")
-    blocks = texts.groupBy("group").agg(F.ceil(F.sum(F.length("text") / 4 + 1) / BLOCK).cast("int").alias("blocks"))
+    blocks = texts.groupBy("group").agg(F.ceil(F.sum(F.length("text") / 4 + 1) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n"))
+    hot = max(shared.HOT, texts.count() // shared.HOT_SHARE)
+    # the texts of a large group are dealt by their nodes; the table of such groups is small by its definition
+    many, few = blocks.where(F.col("n") > hot).drop("n"), blocks.where(F.col("n") <= hot)
+    marked = texts.join(F.broadcast(many), "group", "left").withColumn("at", F.when(F.col("blocks").isNull(), F.col("group")).otherwise(F.col("node")))
+    few = few.select(F.col("group").alias("at"), F.col("blocks").alias("own_blocks"))
+    sized = marked.join(few.hint("merge"), "at", "left").withColumn("blocks", F.coalesce("blocks", "own_blocks"))
     block = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    dealt = texts.join(blocks.hint("merge"), "group").withColumn("block", block)
+    dealt = sized.withColumn("block", block)
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("block")) | (F.col("blocks") == 1))
     pair = F.explode(F.transform(others, lambda x: F.least(x, "block").cast("long") * F.col("blocks") + F.greatest(x, "block")))
     dealt = dealt.select("group", pair.alias("pair"), "node", "name", "text").repartition(parts, "group", "pair")

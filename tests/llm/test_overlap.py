@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from mosaiq.llm import overlap, simhash
+from mosaiq.llm import overlap, shared, simhash
 from tests.llm.test_near import union
 
 
@@ -83,6 +83,7 @@ def test_blocks_and_long_lists_give_the_same_groups(spark, monkeypatch):
     assert [r["component_id"] for r in whole] == components_by_brute(rows)
     monkeypatch.setattr(overlap, "BLOCK", 300)
     assert sorted(simhash.near_texts(docs).collect()) == whole
+    monkeypatch.setattr(shared, "HOT", 3)
     monkeypatch.setattr(simhash, "LIST", 3)
     monkeypatch.setattr(simhash, "SHORT", 2)
     assert sorted(simhash.near_texts(docs).collect()) == whole
