@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "thumbnail_geometry"
-MODULES = ("geometry", "sniff", "sheets", "rasters", "documents", "pictures", "small")
+MODULES = ("geometry", "sniff", "sheets", "rasters", "documents", "pictures", "decoders", "small")
 _FOUND: dict[str, "Query"] = {}
 
 
