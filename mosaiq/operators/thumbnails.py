@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,8 +11,12 @@ from pyspark.sql import functions as F
 from mosaiq.operators.limits import MAX_INPUT_BYTES, input_error, with_defaults
 
 _RESULT = pa.schema([("type", pa.string()), ("source_width", pa.int32()), ("source_height", pa.int32()), ("png", pa.binary()), ("error", pa.string())])
+_PIXELS = pa.schema([("type", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary()), ("error", pa.string())])
 RESULT = "type string, source_width int, source_height int, png binary, error string"
 
+#: Results go back to the JVM once they hold this many bytes, so a task holds little more than one picture beyond them.
+GATHER_BYTES = 8 << 20
+
 
 def _error(e: Exception) -> str:
     return str(e) or type(e).__name__
@@ -28,6 +34,25 @@ def _one(content: bytes | None, width, height, fit, kind) -> tuple:
         return kind, None, None, None, _error(e)
 
 
+def _gathered(keys: pa.Array, results: Iterator[tuple], schema: pa.Schema, key: str, payload: int) -> Iterator[pa.RecordBatch]:
+    """Results of a batch's rows in order, in record batches cut by the bytes in the field `payload`."""
+
+    def batch(begin: int, held: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(column, f.type) for column, f in zip(zip(*held, strict=True), schema, strict=True)]
+        return pa.RecordBatch.from_arrays([keys.slice(begin, len(held)), *columns], names=[key, *schema.names])
+
+    held: list[tuple] = []
+    size = begin = 0
+    for result in results:
+        held.append(result)
+        size += len(result[payload] or b"")
+        if size >= GATHER_BYTES:
+            yield batch(begin, held)
+            begin, size, held = begin + len(held), 0, []
+    if held:
+        yield batch(begin, held)
+
+
 def thumbnails(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """files (key, content[, width, height, fit, type]) to (key, type, source_width, source_height, png, error).
 
@@ -41,10 +66,8 @@ def thumbnails(files: DataFrame, key: str = "path", content: str = "content") ->
     def run(batches):
         for batch in batches:
             keys, *columns = batch.columns
-            for i in range(batch.num_rows):  # a picture at a time, to bound memory
-                result = _one(*(c[i].as_py() for c in columns))
-                arrays = [keys.slice(i, 1), *(pa.array([v], f.type) for v, f in zip(result, _RESULT, strict=True))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[key, *_RESULT.names])
+            results = (_one(*(c[i].as_py() for c in columns)) for i in range(batch.num_rows))
+            yield from _gathered(keys, results, _RESULT, key, 3)
 
     kind = dict(rows.dtypes)[key]
     return rows.mapInArrow(run, f"`{key}` {kind}, {RESULT}")
@@ -54,22 +77,22 @@ def decoded(files: DataFrame, key: str = "path", content: str = "content") -> Da
     """files to (key, type, width, height, data, error): RGBA bytes in rows, for relational work on pixels."""
     rows = files.select(F.col(key).alias(key), F.when(input_error(F.length(content)).isNull(), F.col(content)).alias("content"), (F.col("type") if "type" in files.columns else F.lit(None).cast("string")).alias("type"))
 
-    def run(batches):
+    def one(body: bytes | None, kind: str | None) -> tuple:
         from mosaiq.codecs.registry import decode
 
+        try:
+            if body is None:
+                raise ValueError("Input file too large")
+            kind, grid = decode(body, kind)
+        except Exception as e:
+            return kind, None, None, None, _error(e)
+        return kind, grid.width, grid.height, grid.rgba.tobytes(), None
+
+    def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                kind, grid, error = batch.column(2)[i].as_py(), None, None
-                try:
-                    body = batch.column(1)[i].as_py()
-                    if body is None:
-                        raise ValueError("Input file too large")
-                    kind, grid = decode(body, kind)
-                except Exception as e:
-                    error = _error(e)
-                values = (kind, grid and grid.width, grid and grid.height, grid and grid.rgba.tobytes(), error)
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array([v], t) for v, t in zip(values, kinds, strict=True))], names=[key, "type", "width", "height", "data", "error"])
+            keys, *columns = batch.columns
+            results = (one(*(c[i].as_py() for c in columns)) for i in range(batch.num_rows))
+            yield from _gathered(keys, results, _PIXELS, key, 3)
 
     return rows.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, type string, width int, height int, data binary, error string")
 
