@@ -46,12 +46,13 @@ def row_heights(records: DataFrame, keys: list[str], default: float = 15.0) -> D
 def overflow(cells: DataFrame, keys: list[str], width: Column, need: Column) -> DataFrame:
     """Last column that a text may cover: it grows over empty cells until it fits or the next text begins.
 
-    cells (keys, col, text, ...) hold every column of a row, empty ones with an empty text.
+    cells (keys, col, text, ...) hold every column of a row, empty ones with an empty text. Columns are read from the last
+    to the first, as a frame up to the end of the row is computed anew for every cell.
     """
-    w = Window.partitionBy(*keys).orderBy("col")
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys).orderBy(F.desc("col"))
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = cells.withColumn("_w", width).withColumn("_need", need)
-    rows = rows.withColumn("_stop", F.min(F.when(F.col("text") != "", F.col("col"))).over(ahead)).withColumn("_last", F.max("col").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = rows.withColumn("_stop", F.min(F.when(F.col("text") != "", F.col("col"))).over(ahead)).withColumn("_last", F.max("col").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     limit = F.coalesce(F.col("_stop") - 1, F.col("_last"))
     wanted = F.col("col") + F.greatest(F.ceil(F.col("_need") / F.col("_w")) - 1, F.lit(0))
     return rows.where("text <> ''").select(*cells.columns, F.least(limit, wanted).cast("int").alias("end_col"))

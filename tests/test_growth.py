@@ -1,8 +1,9 @@
 """What must not grow with the tables: recursion limits, quadratic windows, data in one task or at the driver."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from mosaiq.operators import trees
+from mosaiq.operators import sheet, trees
 from mosaiq.plans.registry import all_queries
 from tests.oracle import SF, same
 
@@ -29,3 +30,15 @@ def test_style_chain_ends(spark):
     want = {("a", 1, 0, 1, None), ("a", 1, 1, 2, 7), ("a", 1, 2, 3, 8), ("a", 2, 0, 2, 7), ("a", 2, 1, 3, 8), ("a", 3, 0, 3, 8), ("b", 1, 0, 1, 5), ("b", 1, 1, 1, 5), ("b", 1, 2, 1, 5)}
     assert got == want | {("b", 2, 0, 2, 6), (None, 1, 0, 1, 4), ("b", None, 0, None, 3), ("b", None, 1, 2, 6)}
     assert [r["n"] for r in trees.style_chain(styles, ["f"], 0).groupBy().count().withColumnRenamed("count", "n").collect()] == [len(rows)]
+
+
+def test_overflow_is_linear(spark):
+    n = 4000
+    long = {k: "x" * (k % 37) for k in range(0, n, 7)}
+    cells = spark.createDataFrame([(f, k, long.get(k, "")) for f in ("a", "b") for k in range(n)], "f string, col int, text string")
+    out = sheet.overflow(cells, ["f"], F.lit(2), F.length("text"))
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    texts = [k for k in long if long[k]]
+    ends = dict(zip(texts, [*(k - 1 for k in texts[1:]), n - 1], strict=True))
+    want = {(f, k, min(ends[k], k + max(0, -(-len(long[k]) // 2) - 1))) for f in ("a", "b") for k in texts}
+    assert {(r["f"], r["col"], r["end_col"]) for r in out.collect()} == want
