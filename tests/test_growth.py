@@ -42,3 +42,29 @@ def test_overflow_is_linear(spark):
     ends = dict(zip(texts, [*(k - 1 for k in texts[1:]), n - 1], strict=True))
     want = {(f, k, min(ends[k], k + max(0, -(-len(long[k]) // 2) - 1))) for f in ("a", "b") for k in texts}
     assert {(r["f"], r["col"], r["end_col"]) for r in out.collect()} == want
+
+
+def _chains(links, starts, limit, end=-2):
+    """Plain walk of every branch, as the SQL has it."""
+    out = []
+    for chain, sector in starts:
+        now = [[sector]] if sector != end else []
+        while now:
+            out += [(chain, len(p) - 1, p[-1]) for p in now]
+            now = [[*p, n] for p in now if len(p) <= limit for s, n in links if p[-1] is not None and s == p[-1] and n is not None and n != end and n not in p]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("limit", [100_000, 5, 4])
+@pytest.mark.parametrize("forks", [[], [(1, 30), (4, 2)]])
+def test_chain_order_ends(spark, forks, limit):
+    # a line, a cycle with a tail, a loop on itself, an end, a sector that isn't there, no sector
+    links = [(i, i + 1) for i in range(1, 20)] + [(20, -2), (30, 31), (31, 32), (32, 33), (33, 31), (40, 40), (41, 99), (42, None), (None, 1), *forks]
+    starts = [(i, s) for i, s in enumerate((1, 1, 8, 30, 32, 40, 41, 42, 77, None, -2, 20))]
+    got = trees.chain_order(spark.createDataFrame(links, "sector long, next long"), spark.createDataFrame(starts, "chain long, sector long"), limit)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _chains(links, starts, limit)
+
+
+def test_fat_chain_has_no_row_limit(spark, few_recursions):
+    q = all_queries()["fat_chain"]
+    same(q.run(spark, SF), q.sql)
