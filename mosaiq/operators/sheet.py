@@ -11,10 +11,14 @@ from mosaiq.functions.rounding import half_up
 def display_values(cells: DataFrame, strings: DataFrame) -> DataFrame:
     """cells (.., type, value) with display: shared strings by index (none there: empty), booleans, texts, numbers.
 
-    strings (idx, text) is joined without a hint: it may be small enough to be broadcast, or large and shuffled.
+    strings (idx, text) is joined without a hint: it may be small enough to be broadcast, or large and shuffled. Cells
+    without an index are then dealt by their position, so they don't gather in one task.
     """
     index = F.when(F.col("type") == "s", F.regexp_extract("value", "^\\s*([0-9]+)", 1).try_cast("long"))
-    found = cells.withColumn("idx", index).join(strings, "idx", "left")
+    place = lambda there, x: F.struct(F.lit(there).alias("there"), x.cast("long").alias("x"))
+    at = F.when(index.isNotNull(), place(True, index)).otherwise(place(False, F.monotonically_increasing_id()))
+    listed = strings.where("idx is not null").select(place(True, F.col("idx")).alias("idx"), "text")
+    found = cells.withColumn("idx", at).join(listed, "idx", "left")
     shown = F.when(F.col("type") == "s", F.coalesce("text", F.lit(""))).when(F.col("type") == "b", F.when(F.col("value") == "1", "TRUE").otherwise("FALSE"))
     return found.withColumn("display", shown.otherwise(F.coalesce("value", F.lit("")))).drop("idx", "text")
 

@@ -68,3 +68,27 @@ def test_chain_order_ends(spark, forks, limit):
 def test_fat_chain_has_no_row_limit(spark, few_recursions):
     q = all_queries()["fat_chain"]
     same(q.run(spark, SF), q.sql)
+
+
+def test_cell_display_shuffles_no_cells(spark):
+    q = all_queries()["cell_display"]
+    assert "hashpartitioning" not in q.run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_display_values_deals_cells_without_index(spark):
+    values = [("s", " 3"), ("s", "12"), ("s", "x"), ("s", None), ("b", "1"), ("b", "0"), ("n", "3"), ("n", None), (None, "4")]
+    cells = spark.range(4500).select("id", F.element_at(F.array(*(F.struct(F.lit(k).alias("type"), F.lit(v).alias("value")) for k, v in values)), (F.col("id") % 9 + 1).cast("int")).alias("c")).select("id", "c.*")
+    strings = spark.createDataFrame([(3, "three"), (None, "none"), (9, "nine")], "idx long, text string")
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = sheet.display_values(cells, strings).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    shown = ["three", "", "", "", "TRUE", "FALSE", "3", "", "4"]
+    assert sorted((r["id"], r["display"]) for r in got) == [(i, shown[i % 9]) for i in range(4500)]
+    parts = [r["part"] for r in got]
+    assert max(map(parts.count, set(parts))) < 0.6 * len(parts)
